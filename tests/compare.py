@@ -1,0 +1,73 @@
+"""Run queries against their oracles: ``python tests/compare.py [sf] [name ...]``."""
+
+from __future__ import annotations
+
+import os
+import sys
+import time
+from collections import Counter
+
+import duckdb
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+DATA = "/root/testdata"
+
+
+def session(cores: str = "8"):
+    from pyspark.sql import SparkSession
+    return (
+        SparkSession.builder.master(f"local[{cores}]").appName("episode_mart")
+        .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
+        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
+        .getOrCreate()
+    )
+
+
+def rows_of(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return Counter(tuple(str(r[i]) for i in order) for r in rows)
+
+
+def difference(spark, name: str, sf: str) -> tuple[str | None, int]:
+    """None if the Spark and oracle results hold the same rows, else what differs."""
+    from episode_mart.checks.oracles import ORACLES
+    from episode_mart.checks.queries import QUERIES
+    df = QUERIES[name](spark, f"{DATA}/{sf}")
+    ours = df.collect()
+    if name not in ORACLES:
+        return None, len(ours)
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{DATA}/{sf}/{t}.parquet'")
+    result = con.execute(ORACLES[name])
+    columns = [d[0] for d in result.description]
+    theirs = result.fetchall()
+    if sorted(columns) != sorted(df.columns):
+        return f"columns {sorted(df.columns)} != {sorted(columns)}", len(ours)
+    a, b = rows_of(df.columns, ours), rows_of(columns, theirs)
+    if a != b:
+        only_a, only_b = list((a - b).items())[:3], list((b - a).items())[:3]
+        return (f"{len(ours)} vs {len(theirs)} rows, {sum((a - b).values())} differ\n"
+                f"   columns {sorted(columns)}\n   ours   {only_a}\n   oracle {only_b}"), len(ours)
+    return None, len(ours)
+
+
+if __name__ == "__main__":
+    from episode_mart.checks.queries import QUERIES
+    sf = sys.argv[1] if len(sys.argv) > 1 else "sf0.01"
+    spark = session()
+    spark.sparkContext.setLogLevel("ERROR")
+    bad = 0
+    for query in sys.argv[2:] or QUERIES:
+        start = time.time()
+        try:
+            error, n = difference(spark, query, sf)
+        except Exception as e:
+            error, n = f"{type(e).__name__}: {str(e)[:600]}", 0
+        bad += error is not None
+        print(f"{'ok  ' if error is None else 'FAIL'} {query} {n} rows {time.time() - start:.1f}s"
+              + (f"\n   {error}" if error else ""), flush=True)
+    print("failures:", bad)
