@@ -21,20 +21,18 @@ def _undashed_syn(c: Column) -> Column:
 
 
 def normalize_tx_id(c: Column) -> Column:
-    """Billing identifier: no dashes, SNY -> SYN, one 86/85 prefix off, ``SYN-`` prefix back."""
-    c = _undashed_syn(c)
-    c = F.when(c.rlike("^8[56]"), F.substring(F.rtrim(c), F.lit(3), F.length(c))).otherwise(c)
-    return F.when(
-        c.rlike("^[Ss]"),
-        F.concat(F.lit("SYN-"), F.substring(F.rtrim(c), F.lit(4), F.length(c))),
-    ).otherwise(c)
+    """Billing identifier: no dashes, SNY -> SYN, one 86/85 prefix off, ``SYN-`` prefix back.
+
+    Each step is one replacement, so the input expression is not repeated; a step that applies
+    also drops trailing blanks.
+    """
+    c = F.regexp_replace(_undashed_syn(c), r"(?s)^8[56](.*?) *\z", "$1")
+    return F.regexp_replace(c, r"(?s)^[Ss].{0,2}(.*?) *\z", "SYN-$1")
 
 
 def normalize_rf_id(c: Column) -> Column:
     """Referral identifier: as above without the prefix rule, and any S marks a SYN patient."""
-    c = _undashed_syn(c)
-    tail = F.substring(c, F.lit(4), F.length(F.rtrim(c)))
-    return F.when(c.rlike("[Ss]"), F.concat(F.lit("SYN-"), tail)).otherwise(c)
+    return F.regexp_replace(_undashed_syn(c), r"(?s)^(?=.*[Ss]).{0,3}(.*?) *\z", "SYN-$1")
 
 
 def visit_key(patient: Column, visit: Column) -> Column:

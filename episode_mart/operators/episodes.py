@@ -86,21 +86,24 @@ def carry_forward(days: DataFrame, eps: DataFrame, attributes: list[str]) -> Dat
 
 
 def daily_activity(transactions: DataFrame) -> DataFrame:
-    """Balance, units and lines per patient, day and payer; combined before the shuffle."""
+    """Balance, units and lines per patient, day and payer; combined before the shuffle.
+
+    Payers are grouped as spelled: only sums and counts are kept, so the combine is a hash
+    aggregate. Spellings of one payer meet per episode.
+    """
     return (
         transactions.select(
             match_key(F.col("patient_number_updated")).alias("patient_key"),
             _day(F.col("from_dos")).alias("day"),
-            match_key(F.col("insurance_name")).alias("payer_key"),
-            "insurance_name", "remaining_balance", "units",
+            F.col("insurance_name").alias("payer"),
+            "remaining_balance", "units",
         )
         .where(F.col("patient_key").isNotNull())
-        .groupBy("patient_key", "day", "payer_key")
+        .groupBy("patient_key", "day", "payer")
         .agg(
-            F.min("insurance_name").alias("payer"),
             F.sum("remaining_balance").cast(MONEY).alias("balance"),
             F.sum("units").cast(UNITS).alias("units"),
-            F.count("insurance_name").alias("lines"),
+            F.count("payer").alias("lines"),
         )
     )
 
@@ -115,6 +118,7 @@ def episode_activity(referrals: DataFrame, transactions: DataFrame) -> DataFrame
     placed = carry_forward(daily_activity(transactions), episodes(referrals), attributes)
     return (
         placed.where(F.col("episode").isNotNull() & ((F.col("is_fact") == 1) | F.col("is_empty")))
+        .withColumn("payer_key", match_key(F.col("payer")))
         .groupBy("patient_key", "episode", "payer_key")
         .agg(
             F.min("payer").alias("payer"),
