@@ -74,14 +74,21 @@ def conform(df: DataFrame, schema: T.StructType, keep: tuple[str, ...] = ()) ->
 
 
 def detect_table(headers: list[str]) -> tuple[str | None, float]:
-    """Best table by share of its expected columns found; none below one half."""
-    def score(table: str) -> float:
-        expected = [label_of(f) for f in RAW[table]]
-        return len(match_headers(headers, expected, VALIDATE_THRESHOLD)) / len(expected)
-
-    scores = {table: score(table) for table in RAW}
-    best = max(scores, key=scores.get)
-    return (best, scores[best]) if scores[best] >= DETECT_SCORE else (None, scores[best])
+    """Table the header belongs to, and the share of its expected columns found.
+
+    Only tables with at least half of their columns qualify. Among them the best total match
+    wins: by share alone, a table of two common columns would beat any large one.
+    """
+    found = {}
+    for table, schema in RAW.items():
+        expected = [label_of(f) for f in schema]
+        ratios = [r for _, r in match_headers(headers, expected, VALIDATE_THRESHOLD).values()]
+        found[table] = (sum(ratios), len(ratios) / len(expected))
+    qualified = [t for t in RAW if found[t][1] >= DETECT_SCORE]
+    if not qualified:
+        return None, max(score for _, score in found.values())
+    best = max(qualified, key=lambda t: found[t][0])
+    return best, found[best][1]
 
 
 def header_report(headers: list[str], table: str,

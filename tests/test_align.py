@@ -1,0 +1,86 @@
+"""Header matching, validation and profiling."""
+
+import datetime
+
+import pytest
+from pyspark.sql import types as T
+
+from episode_mart.functions.coerce import coercion_of
+from episode_mart.operators.align import align, detect_table, header_report, match_headers, validate
+from episode_mart.operators.profile import column_profiles, sample_head
+from episode_mart.schemas import MARTS, RAW, label_of, snake, table_name
+
+
+def test_headers_match_one_to_one():
+    got = match_headers([" patientid ", "COMPANYNAME"], ["PatientId", "CompanyName", "PrimaryFlag"])
+    assert got == {"PatientId": (" patientid ", 1.0), "CompanyName": ("COMPANYNAME", 1.0)}
+    # A name that is already matched exactly is not taken by a similar one.
+    both = ["1st Appeal Denial Date", "2nd Appeal Denial Date"]
+    assert set(match_headers(["1st Appeal Denial Date"], both)) == {"1st Appeal Denial Date"}
+    fuzzy = match_headers(["Prim. Oncologist"], ["Prim# Oncologist"])
+    assert fuzzy["Prim# Oncologist"][0] == "Prim. Oncologist" and fuzzy["Prim# Oncologist"][1] > 0.85
+    assert match_headers(["Zone"], ["PatientId"]) == {}
+    # Above, not at, the threshold.
+    assert match_headers(["abcdefgx"], ["abcdefgy"], threshold=0.875) == {}
+    # Of two candidates the closer one wins, wherever it stands.
+    assert match_headers(["Company Namess", "Company Name"], ["CompanyName"])["CompanyName"][0] == "Company Name"
+
+
+def test_align_gives_the_target_layout(spark):
+    df = spark.createDataFrame(
+        [("x", "2024-01-05", "8601.0"), (None, "soon", None)], "`Remark` string, `date of birth` string, `PATIENTID` string")
+    out = align(df, RAW["PatientDOB"])
+    assert out.columns == RAW["PatientDOB"].names
+    assert [f.dataType for f in out.schema] == [f.dataType for f in RAW["PatientDOB"]]
+    assert [tuple(r) for r in out.collect()] == [("8601", datetime.date(2024, 1, 5)), (None, None)]
+    missing = align(df.select("Remark"), RAW["PatientDOB"])
+    assert [tuple(r) for r in missing.collect()] == [(None, None)] * 2
+
+
+def test_detection():
+    assert detect_table(["Insurance Product Detail", "Category - Type", "InsuranceCatAbv", "Payer Roll-Up"]) == (
+        "PayerCrosswalk", 1.0)
+    assert detect_table(["PatientId", "DateOfBirth"])[0] == "PatientDOB"
+    assert detect_table([label_of(f) for f in RAW["ReferralRaw"]][:40])[0] == "ReferralRaw"
+    assert detect_table(["qqq", "zzz"])[0] is None
+
+
+def test_names():
+    assert table_name("DataCleanup.dbo.[Payer Crosswalk]") == "PayerCrosswalk"
+    assert table_name("ResearchPateint") == "ResearchPatient"
+    assert table_name("db.dbo.TransactionsRaw") == "TransactionsRaw"
+    with pytest.raises(KeyError):
+        table_name("Nothing")
+    assert [snake(s) for s in ["Prim# Oncologist", "Staff/Resource(s)", "FromDOS", "WorkRVU", "PatientSubscriberID"]] == [
+        "prim_oncologist", "staff_resource", "from_dos", "work_rvu", "patient_subscriber_id"]
+    assert [len(MARTS[m]) for m in MARTS] == [7, 5, 21, 4, 60, 6]
+
+
+def test_coercion_classes():
+    assert [coercion_of(t) for t in (T.IntegerType(), T.DoubleType(), T.DecimalType(19, 4), T.BooleanType(),
+                                     T.DateType(), T.TimestampNTZType(), T.StringType(), T.BinaryType())] == [
+        "int", "float", "money", "bool", "date", "datetime", "str", "str"]
+
+
+def test_profile(spark):
+    df = spark.createDataFrame([(None, None)] * 9 + [("abcd", None), ("ab", "x")], "`a b` string, c string")
+    got = {r.column_name: tuple(r)[1:] for r in column_profiles(df, {"a b": 3}).collect()}
+    assert got == {"a b": (11, 9, 9, True, 1), "c": (11, 9, 10, True, 0)}
+    empty = column_profiles(df.limit(0)).collect()
+    assert [(r.rows, r.nulls, r.is_sparse) for r in empty] == [(0, 0, False)] * 2
+    assert [r["a b"] for r in sample_head(df.dropna(subset=["a b"]), 1, "a b").collect()] == ["ab"]
+
+
+def test_validate(spark):
+    headers = ["PatientId", "Company Nam", "Zone"]
+    report = header_report(headers, "ActiveInsurance")
+    assert report["missing"] == ["PrimaryFlag"] and report["extra"] == ["Zone"] and not report["valid"]
+    assert report["mapping"] == {"PatientId": "PatientId", "Company Nam": "CompanyName"}
+    df = spark.createDataFrame([("1", "c", None), (None, None, None)],
+                               T.StructType([T.StructField(h, T.StringType()) for h in headers]))
+    rows = {(r.column_name, r.expected_name): (r.status, r.rows, r.empty_rows, r.nulls) for r in validate(df).collect()}
+    assert rows == {
+        ("PatientId", "PatientId"): ("exact", 2, 1, 1), ("Company Nam", "CompanyName"): ("fuzzy", 2, 1, 1),
+        ("Zone", None): ("extra", 2, 1, 2), (None, "PrimaryFlag"): ("missing", None, None, None)}
+    good = df.toDF("PatientId", "CompanyName", "PrimaryFlag")
+    assert all(r.file_is_valid for r in validate(good, "ActiveInsurance").collect())

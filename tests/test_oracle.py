@@ -1,0 +1,29 @@
+"""Every query against its oracle on the smallest data, and known totals."""
+
+import pytest
+from compare import DATA, difference
+from pyspark.sql import functions as F
+
+from episode_mart.checks.oracles import ORACLES
+from episode_mart.checks.queries import QUERIES
+
+
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_query_equals_oracle(spark, name):
+    error, n = difference(spark, name, "sf0.001")
+    assert error is None, error
+    assert n > 0
+
+
+def test_known_totals(spark):
+    balance = QUERIES["episode_balance"](spark, f"{DATA}/sf0.01").agg(
+        F.count("*"), F.sum("remaining_balance").cast("decimal(20,2)").cast("string"),
+        F.count_if(F.col("remaining_balance") == 0)).first()
+    assert tuple(balance) == (2975, "1298840913.35", 152)
+    top = QUERIES["top_payers"](spark, f"{DATA}/sf0.01").agg(
+        F.count_if(F.col("updated_primary") == "Self-Pay"), F.count_if(F.col("updated_secondary").isNull())).first()
+    assert top[1] == 345
