@@ -10,6 +10,7 @@ import time
 from pyspark.sql import SparkSession
 
 from episode_mart.checks.queries import QUERIES
+from episode_mart.session import configure
 
 HEADLINE = [
     "csv_round_trip", "clean_transactions", "tx_remaining_balance", "id_tx_normalize", "name_parse",
@@ -25,9 +26,10 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("episode_mart bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "16g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+    configure(spark)
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
     for name in HEADLINE:

@@ -10,13 +10,15 @@ sys.path.insert(0, str(Path(__file__).parent))
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
+
+    from episode_mart.session import configure
     session = (
         SparkSession.builder.master("local[8]").appName("episode_mart tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "8g")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .getOrCreate()
     )
-    session.sparkContext.setLogLevel("ERROR")
+    configure(session).sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
