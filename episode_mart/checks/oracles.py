@@ -228,6 +228,13 @@ select 'PatientDOB', patient_id, date_of_birth, cast(null as {_M}) from patient_
             ("at-risk list", "AtRisk", "at_risk"),
             ("Active Insurance", "ActiveInsurance", "active_insurance"),
             ("Referrals", "ReferralRaw", "raw_referrals")]]),
+    "catalog_schema": _union([
+        f"""select {i} as position, '{c}' as column_name, '{t}' as data_type, count(*) as rows,
+  count(*) - count({c}) as nulls from lineitem"""
+        for i, (c, t) in enumerate([
+            ("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"),
+            ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"),
+            ("l_returnflag", "string"), ("l_linestatus", "string"), ("l_shipdate", "timestamp_ntz")], start=1)]),
     "surrogate_key": "select row_number() over () as row_id from lineitem",
     "align_exact": f"select patient_number, from_dos, voucher, modifier, charges from ({_EXPORTED})",
     "align_fuzzy": f"select patient_full_name, insurance_name, voucher, modifier from ({_EXPORTED})",

@@ -22,7 +22,7 @@ from episode_mart.plans import clean, enrich, ingest, marts
 from episode_mart.plans.refresh import refresh
 from episode_mart.schemas import RAW
 from episode_mart.sources.files import read_csv, scan_folder
-from episode_mart.sources.tables import scratch_dir, write
+from episode_mart.sources.tables import scratch_dir, table_schema, write
 
 AS_OF = datetime.date(2026, 1, 1)
 ROW = ("l_orderkey", "l_linenumber")
@@ -166,6 +166,14 @@ def surrogate_key(spark, sf):
     return keyed.select("row_id")
 
 
+def catalog_schema(spark, sf):
+    """Columns of a registered table with what they hold."""
+    spark.read.parquet(f"{sf}/lineitem.parquet").createOrReplaceTempView("episode_mart_lineitem")
+    columns = table_schema(spark, "episode_mart_lineitem").select("position", "column_name", "data_type")
+    return columns.join(
+        column_profiles(spark.table("episode_mart_lineitem")).select("column_name", "rows", "nulls"), "column_name")
+
+
 # --- alignment, coercion, profile ---------------------------------------------
 
 def _aligned(spark, sf) -> DataFrame:
@@ -413,6 +421,7 @@ QUERIES: dict[str, Query] = {
     "clean_and_save": clean_and_save,
     "route_by_name": route_by_name,
     "surrogate_key": surrogate_key,
+    "catalog_schema": catalog_schema,
     # alignment, coercion, profile
     "align_exact": align_exact,
     "align_fuzzy": align_fuzzy,

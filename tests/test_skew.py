@@ -99,8 +99,10 @@ def test_demographics_equal_chained_left_joins(spark):
         want += [(p, d[0], a[0], r[0], i[0], i[1])
                  for d in of(dob, 1) for r in of(rp, 1) for a in of(ar, 1) for i in of(ai, 2)]
     frame = spark.createDataFrame
-    got = patients.demographics(
-        frame(ai, "patient_id string, company_name string, primary_flag string"),
-        frame(dob, "patient_id string, date_of_birth date"),
-        frame(rp, "patient_id string, status_icon string"), frame(ar, "patient_id string, status_icon string"))
-    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+    for hot_rows in (2, 1_000_000):
+        got = patients.demographics(
+            frame(ai, "patient_id string, company_name string, primary_flag string"),
+            frame(dob, "patient_id string, date_of_birth date"),
+            frame(rp, "patient_id string, status_icon string"),
+            frame(ar, "patient_id string, status_icon string"), hot_rows)
+        assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
