@@ -13,10 +13,10 @@ from episode_mart.checks.queries import QUERIES
 from episode_mart.session import configure
 
 HEADLINE = [
-    "csv_round_trip", "clean_transactions", "tx_remaining_balance", "id_tx_normalize", "name_parse",
-    "profile_nulls", "episodes", "episode_balance", "top_payers", "tx_assign_episode",
-    "denial_assign_episode", "enrich_referrals", "enrich_transactions", "mart_billing",
-    "mart_patients",
+    "episodes", "profile_nulls", "name_parse", "id_tx_normalize", "tx_remaining_balance",
+    "mart_patients", "denial_assign_episode", "csv_round_trip", "episode_balance", "top_payers",
+    "tx_assign_episode", "enrich_referrals", "enrich_transactions", "clean_transactions",
+    "mart_billing",
 ]
 
 

@@ -46,7 +46,7 @@ def test_detection():
 
 
 def test_names():
-    assert table_name("DataCleanup.dbo.[Payer Crosswalk]") == "PayerCrosswalk"
+    assert table_name("db.dbo.[Payer Crosswalk]") == "PayerCrosswalk"
     assert table_name("ResearchPateint") == "ResearchPatient"
     assert table_name("db.dbo.TransactionsRaw") == "TransactionsRaw"
     with pytest.raises(KeyError):
