@@ -1,0 +1,9 @@
+import pytest
+
+
+@pytest.fixture
+def frame(spark):
+    """Rows of (doc_id, text, lang) as documents."""
+    def make(rows, schema="doc_id long, text string, lang string"):
+        return spark.createDataFrame(rows, schema)
+    return make
