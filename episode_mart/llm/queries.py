@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episode_mart.llm import chats, contamination, language, licenses, quality, secrets
+from episode_mart.llm import chats, contamination, language, licenses, privacy, quality, secrets
 from episode_mart.llm.common import held_out, table
 from episode_mart.llm.spans import let, running
 
@@ -30,6 +30,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.report(privacy.scan(table(spark, sf_dir, "documents")))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     says = "</s>[INST] ok [/INST]"
@@ -60,6 +64,7 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op4_secret_scan": op4_secret_scan,
     "op7_decontaminate": op7_decontaminate,
+    "op8_personal_data": op8_personal_data,
     "op9_chat_format": op9_chat_format,
     "op10_quality_rules": op10_quality_rules,
 }

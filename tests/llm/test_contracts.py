@@ -149,3 +149,36 @@ def test_op7_finds_what_alignment_finds(spark, docs):
         best = max(sum(a == b for a, b in zip(words[i:i + 18], other[j:j + 18], strict=False))
                    for i in range(len(words)) for j in range(len(other)))
         assert best >= min(13, -(-len(other) * 4 // 5))
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(map(int, reversed(digits))):
+        total += d if i % 2 == 0 else 2 * d - 9 * (2 * d > 9)
+    return total % 10 == 0
+
+
+def base_personal(text):
+    def digits(m):
+        return re.sub("[^0-9]", "", m[0])
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    ]
+    return [f"{k}:{m.start()}:{m.end()}" for k, p, good in kinds for m in re.finditer(p, text) if good(m)]
+
+
+def test_op8_base_spans(spark, docs):
+    got = result(spark, "op8_personal_data")
+    seen = Counter()
+    for d in docs:
+        found = base_personal(d["text"] or "")
+        r, counts = got[d["doc_id"]], Counter(s.split(":")[0] for s in found)
+        assert [r[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [
+            counts[k] for k in ("email", "ip", "card", "phone")]
+        assert r["base_sha256"] == sha(",".join(found))
+        assert set(found) <= set(r["spans"].split(",")) or not found
+        seen.update(counts)
+    assert min(seen[k] for k in ("email", "ip", "card", "phone")) > 0
