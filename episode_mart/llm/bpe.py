@@ -70,14 +70,14 @@ class TokenAutomaton:
             self.target[uv], self.left[uv], self.made[uv] = onwards, u, time
 
     def _has_arc(self, state: int, token: int) -> bool:
-        """Whether ``token`` may follow: an arc uv was added where there was an arc u at that time."""
+        """Whether ``token`` may follow: an arc uv was added where an arc u was left by that merge."""
         before = {token: len(self.parent) + len(self.target)}
         while token in self.left:
             made = self.made[token]
             token = self.left[token]
             before.setdefault(token, made)
         while state:
-            if self.since[state] < before.get(self.lacks[state], -1):
+            if self.since[state] <= before.get(self.lacks[state], -1):
                 return False
             state = self.parent[state]
         return True

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episode_mart.llm import chats, contamination, language, licenses, privacy, quality, secrets
+from episode_mart.llm import bpe, chats, contamination, language, licenses, privacy, quality, secrets
 from episode_mart.llm.common import held_out, table
 from episode_mart.llm.spans import let, running
 
@@ -26,6 +27,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(docs)).drop("text")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, path or public_tokenizers.path("byte_bpe_50k.json")).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -63,6 +72,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
     "op4_secret_scan": op4_secret_scan,
+    "op6_bpe": op6_bpe,
     "op7_decontaminate": op7_decontaminate,
     "op8_personal_data": op8_personal_data,
     "op9_chat_format": op9_chat_format,
