@@ -44,8 +44,10 @@ def _seeds(words: Column, at: Column) -> Column:
 
 def _windows(df: DataFrame, *keep: str) -> DataFrame:
     """(keep, words, at) for every window of a table with a ``words`` array."""
-    return df.where(F.size("words") >= SPAN).select(
-        *keep, "words", F.explode(F.sequence(F.lit(0), F.size("words") - SPAN)).alias("at"))
+    # not a filter, which would split the text a second time
+    starts = F.when(F.size("words") >= SPAN, F.sequence(F.lit(0), F.size("words") - SPAN)).otherwise(
+        F.array().cast("array<int>"))
+    return df.select(*keep, "words", F.explode(starts).alias("at"))
 
 
 def benchmark_seeds(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
