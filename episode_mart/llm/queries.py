@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episode_mart.llm import bpe, chats, contamination, language, licenses, privacy, quality, secrets
+from episode_mart.llm import bpe, chats, contamination, language, licenses, privacy, quality, secrets, webpages
 from episode_mart.llm.common import held_out, table
 from episode_mart.llm.spans import let, running
 
@@ -22,6 +22,11 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return webpages.extract(pages, webpages.learn(pages)).drop("html")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.report(secrets.scan(docs)).drop("text")
@@ -71,6 +76,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
+    "op3_page_text": op3_page_text,
     "op4_secret_scan": op4_secret_scan,
     "op6_bpe": op6_bpe,
     "op7_decontaminate": op7_decontaminate,
