@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episode_mart.llm import bpe, chats, contamination, language, licenses, privacy, quality, secrets, webpages
+from episode_mart.llm import bpe, chats, contamination, language, licenses, neardup, privacy, quality, secrets, webpages
 from episode_mart.llm.common import held_out, table
 from episode_mart.llm.spans import let, running
 
@@ -32,6 +32,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(docs)).drop("text")
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, path or public_tokenizers.path("byte_bpe_50k.json")).select(
@@ -78,6 +82,7 @@ QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_page_text": op3_page_text,
     "op4_secret_scan": op4_secret_scan,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_bpe": op6_bpe,
     "op7_decontaminate": op7_decontaminate,
     "op8_personal_data": op8_personal_data,
