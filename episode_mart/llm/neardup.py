@@ -244,7 +244,9 @@ def _tiles(nodes: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS,
          percent: int = PERCENT) -> DataFrame:
-    """(doc_id, row, n_shingles, component_id) of every row; ``row`` is the hash of id and text.
+    """(doc_id, row, n_shingles, component_id, root) of every row; ``row`` is the hash of id and text.
+
+    ``root`` names the component also where no row of it has an id; it is null without shingles.
 
     ``percent``: two documents link when 100 * intersection >= percent * union of their shingle sets.
     """
@@ -264,7 +266,21 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words:
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = keep(least.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(of_root, "root").select("node", "component_id")
+    labels = rooted.join(of_root, "root").select("node", "root", "component_id")
     return rows.select("doc_id", "row", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left").select(
         "doc_id", "row", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(
-            F.col("component_id")).alias("component_id"), "node")
+            F.col("component_id")).alias("component_id"), "root")
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS,
+                percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each group: the smallest id and text hash; rows alone in their group stay."""
+    found = keep(join(docs, id_column, text, words, percent).where("root is not null").select("doc_id", "row", "root"))
+    groups = found.groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("m")).where("m > 1")
+    members = keep(found.join(groups, "root").select("row", (F.col("row") == F.col("first.row")).alias("stays")))
+    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.col(id_column).cast("long"), F.col(text)).alias("row"))
+    doubtful = within(rows, members, "row")
+    alone = doubtful.join(members, "row", "left_anti")
+    first = doubtful.join(members.where("stays").select("row").distinct(), "row").dropDuplicates(["row"])
+    return beyond(rows, members, "row").select("doc.*").unionAll(alone.select("doc.*")).unionAll(first.select("doc.*"))

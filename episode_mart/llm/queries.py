@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from episode_mart.llm import bpe, chats, contamination, language, licenses, neardup, privacy, quality, secrets, webpages
 from episode_mart.llm.common import held_out, table
 from episode_mart.llm.spans import let, running
@@ -78,6 +79,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
     "op3_page_text": op3_page_text,
@@ -89,4 +91,4 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

@@ -1,0 +1,92 @@
+"""The pipeline's stages against plain versions, and on odd rows."""
+
+import corpus_pipeline as cp
+import public_tokenizers
+import pyarrow.parquet as pq
+import pytest
+from compare import DATA
+from test_contracts import base_secrets
+from test_neardup import brute, made
+from tokenizers import Tokenizer
+
+from episode_mart.llm import neardup
+from episode_mart.llm.queries import QUERIES
+
+SF = f"{DATA}/sf0.01"
+LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def survivors(rows, words, percent):
+    """Ids and texts that stay of (id, text) rows: the first of each component, and rows without shingles."""
+    groups, out = {}, []
+    for (doc, text), (_, size, component) in zip(rows, brute(rows, words, percent), strict=True):
+        if not size:
+            out.append((doc, text))
+        elif component is None:
+            groups.setdefault(("none", text), []).append((doc, text))
+        else:
+            groups.setdefault(component, []).append((doc, text))
+    ids = [min(d for d, _ in members if d is not None) if k[0:1] != ("none",) else None
+           for k, members in ((k if isinstance(k, tuple) else (k,), m) for k, m in groups.items())]
+    return sorted(d for d in ids if d is not None), len(out), sum(d is None for d in ids)
+
+
+def test_stages_in_turn(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+
+    kept = cp.keep(cp.language_id(spark, docs, SF))
+    assert kept.columns == columns
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {k for k, t in texts.items() if any(c.isalpha() for c in t)}
+
+    rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    single = cp.keep(cp.near_duplicates(spark, kept, SF))
+    assert single.columns == columns
+    assert sorted(r["doc_id"] for r in single.select("doc_id").collect()) == survivors(rows, 5, 80)[0]
+
+    dirty = {r["doc_id"] for r in QUERIES["op7_decontaminate"](spark, SF).collect()}
+    clean = cp.keep(cp.decontamination(spark, single, SF))
+    assert clean.columns == columns
+    assert {r["doc_id"] for r in clean.select("doc_id").collect()} == {
+        r["doc_id"] for r in single.select("doc_id").collect()} - dirty
+
+    safe = cp.keep(cp.secret_scan(spark, clean, SF))
+    assert safe.columns == columns and safe.count() == clean.count()
+    for r in safe.collect():
+        assert not base_secrets(r["text"]) and r["n_chars"] == len(r["text"])
+        if not base_secrets(texts[r["doc_id"]]) and "[SECRET]" not in r["text"]:
+            assert r["text"] == texts[r["doc_id"]]
+
+    done = cp.tokenize(spark, safe, SF).collect()
+    assert len(done) == safe.count()
+    for r in done[:100]:
+        assert r["ids"] == LIBRARY.encode(r["text"], add_special_tokens=False).ids and r["n_tokens"] == len(r["ids"])
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(1, None, None, "a", None), (2, "", "en", None, 0), (3, "…", "en", "a", 1), (3, "…", "en", "a", 1),
+            (4, "the token = abcdef12345", "en", "a", 23), (4, "the token = abcdef12345", "en", "a", 23),
+            (None, "the cat sat on the mat", None, "b", 22), (None, "le chat est dans la rue", "fr", "b", 23)]
+    return spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id long, text string, lang string, source string, "
+                                 "n_chars long, `row` string, node int")
+
+
+def test_odd_rows_pass_every_stage(spark, odd):
+    for docs in (odd, odd.limit(0), odd.withColumn("text", cp.F.lit(None).cast("string"))):
+        for name, stage in cp.STAGES:
+            out = stage(spark, docs, f"{DATA}/sf0.001")
+            assert set(docs.columns) <= set(out.columns), name
+            assert out.count() <= docs.count()
+
+
+def test_one_of_each_leaves_one(spark):
+    rows = made(9)
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, node int")
+    got = neardup.one_of_each(df, words=3, percent=90).collect()
+    ids, blank, no_id = survivors(rows, 3, 90)
+    with_shingles = [r for r in got if (r["text"] or "").split()]
+    assert sorted(r["doc_id"] for r in with_shingles if r["doc_id"] is not None) == ids
+    assert sum(r["doc_id"] is None for r in with_shingles) == no_id
+    assert len(got) - len(with_shingles) == blank
