@@ -1,6 +1,6 @@
 """Views that shape the given tables into the engine's inputs.
 
-One patient is one ``o_custkey``; orders play referrals, lineitems transactions. The SQL runs
+Every view reads all rows of its tables. Keys that nobody else has make the misses of joins. One patient is one ``o_custkey``; orders play referrals, lineitems transactions. The SQL runs
 unchanged in Spark and in the oracle; only the table names differ.
 """
 
@@ -66,46 +66,48 @@ VIEWS = {
     "raw_transactions": f"select {_TRANSACTION_COLUMNS} {_FROM_LINES}",
     "wide_transactions": f"select {_TRANSACTION_COLUMNS}, {_MORE_MONEY} {_FROM_LINES}",
     "raw_referrals": """
-select case when o_custkey % 6 = 2 then 'SYN-' || cast(o_custkey as varchar(20))
+select case when o_orderkey % 9 = 0 then 'NEW-' || cast(o_custkey as varchar(20))
+            when o_custkey % 6 = 2 then 'SYN-' || cast(o_custkey as varchar(20))
             when o_custkey % 6 = 3 then 'SNY' || cast(o_custkey as varchar(20))
             else cast(o_custkey as varchar(20)) end as patient_id,
        'Jane Doe' || cast(o_custkey as varchar(20)) as patient_name,
        cast(o_orderdate as date) as referral_date,
        o_orderkey as referral_key,
        o_orderstatus as final_approval
-from {orders} where o_orderpriority = '1-URGENT'""",
+from {orders}""",
     "denial_data": f"""
 select {_CLEAN_NUMBER.format(k="o_custkey")} as patient_account,
        cast(l_shipdate as date) as dos, l_orderkey, l_linenumber
-{_FROM_LINES}
-where l_returnflag = 'R' and l_linenumber = 1""",
+{_FROM_LINES}""",
     "payer_crosswalk": """
-select distinct 'PAYER_' || cast(s_suppkey % 12 as varchar(20)) as insurance_product_detail,
+select distinct case when s_suppkey % 12 < 9 then 'PAYER_' else 'Other_' end
+         || cast(s_suppkey % 12 as varchar(20)) as insurance_product_detail,
        'CAT_' || cast(s_suppkey % 12 % 3 as varchar(20)) as category_type,
        'C' || cast(s_suppkey % 12 % 3 as varchar(20)) as insurance_cat_abv,
        'ROLL_' || cast(s_suppkey % 12 % 2 as varchar(20)) as payer_roll_up
-from {supplier} where s_suppkey % 12 < 9""",
+from {supplier}""",
     "active_insurance": """
-select distinct cast(o_custkey as varchar(20)) as patient_id,
+select distinct case when o_custkey % 4 = 0 then '' else 'A-' end || cast(o_custkey as varchar(20)) as patient_id,
        'PAYER_' || o_orderstatus as company_name,
        case when o_orderstatus = 'F' then 'Y' else 'N' end as primary_flag
-from {orders} where o_custkey % 4 = 0""",
+from {orders}""",
     "patient_dob": """
-select cast(c_custkey as varchar(20)) as patient_id,
+select case when c_custkey % 10 <> 0 then '' else 'D-' end || cast(c_custkey as varchar(20)) as patient_id,
        date '1940-01-01' + cast(c_custkey * 17 % 25000 as int) as date_of_birth
-from {customer} where c_custkey % 10 <> 0""",
+from {customer}""",
     "at_risk": """
-select cast(c_custkey as varchar(20)) as patient_id, 'RISK' as status_icon
-from {customer} where c_acctbal < 500""",
+select case when c_acctbal < 500 then '' else 'R-' end || cast(c_custkey as varchar(20)) as patient_id,
+       'RISK' as status_icon
+from {customer}""",
     "research_patient": """
-select cast(c_custkey as varchar(20)) as patient_id, 'STUDY' as status_icon
-from {customer} where c_custkey % 7 = 0""",
+select case when c_custkey % 7 = 0 then '' else 'S-' end || cast(c_custkey as varchar(20)) as patient_id,
+       'STUDY' as status_icon
+from {customer}""",
     "fractions": """
 select cast(o_custkey as varchar(20)) as patient_id1, p_type as activity_name,
        cast(l_shipdate as date) as start_date, l_linestatus as status,
        p_brand as icd_10, p_name as staff_resource, l_orderkey, l_linenumber
-from {lineitem} join {orders} on l_orderkey = o_orderkey join {part} on l_partkey = p_partkey
-where l_returnflag = 'N'""",
+from {lineitem} join {orders} on l_orderkey = o_orderkey join {part} on l_partkey = p_partkey""",
     "icd_crosswalk": """
 select distinct substr(p_brand, 1, 5) as prefix, p_brand as latest_dx,
        'Descr ' || p_brand as descr, 'HIGH' as roll_up_high_level, p_brand || '-2' as icd_second_level

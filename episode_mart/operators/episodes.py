@@ -1,8 +1,8 @@
 """Episodes: a patient's interval from one referral date to the next.
 
-Everything works on one row per patient and day. A window over a patient therefore never
-sees more rows than there are days (times payers, for activity), however many referrals or
-transactions the patient has, and no fact is compared with every episode of its patient.
+Windows work on one row per patient and day, so a window over a patient never sees more rows than
+there are days, however many referrals, payers or transactions the patient has, and no fact is
+compared with every episode of its patient.
 """
 
 from __future__ import annotations
@@ -85,6 +85,13 @@ def carry_forward(days: DataFrame, eps: DataFrame, attributes: list[str]) -> Dat
     ).drop("_nothing_next")
 
 
+def _days_of(transactions: DataFrame, *columns: str) -> DataFrame:
+    return transactions.select(
+        match_key(F.col("patient_number_updated")).alias("patient_key"),
+        _day(F.col("from_dos")).alias("day"), *columns,
+    ).where(F.col("patient_key").isNotNull())
+
+
 def daily_activity(transactions: DataFrame) -> DataFrame:
     """Balance, units and lines per patient, day and payer; combined before the shuffle.
 
@@ -92,13 +99,8 @@ def daily_activity(transactions: DataFrame) -> DataFrame:
     aggregate. Spellings of one payer meet per episode.
     """
     return (
-        transactions.select(
-            match_key(F.col("patient_number_updated")).alias("patient_key"),
-            _day(F.col("from_dos")).alias("day"),
-            F.col("insurance_name").alias("payer"),
-            "remaining_balance", "units",
-        )
-        .where(F.col("patient_key").isNotNull())
+        _days_of(transactions, "insurance_name", "remaining_balance", "units")
+        .withColumnRenamed("insurance_name", "payer")
         .groupBy("patient_key", "day", "payer")
         .agg(
             F.sum("remaining_balance").cast(MONEY).alias("balance"),
@@ -111,13 +113,18 @@ def daily_activity(transactions: DataFrame) -> DataFrame:
 def episode_activity(referrals: DataFrame, transactions: DataFrame) -> DataFrame:
     """Balance, units and lines per episode and payer, empty episodes included.
 
-    One shuffle by patient serves the episode assignment, this grouping, the ranking of
-    payers and the totals per episode.
+    Episodes are found for distinct patient-days, so the window never sees payers; the
+    activity of the days is joined to them afterwards.
     """
     attributes = ["referral_date", "next_date", "visit_number", "referrals"]
-    placed = carry_forward(daily_activity(transactions), episodes(referrals), attributes)
+    activity = daily_activity(transactions)
+    days = activity.select("patient_key", "day").distinct()
+    placed = carry_forward(days, episodes(referrals), attributes).where(F.col("episode").isNotNull())
+    shown = placed.where("is_fact = 1").select("patient_key", "day", "episode", "patient_seen")
+    empty = placed.where("is_empty").select("patient_key", "episode", "patient_seen")
     return (
-        placed.where(F.col("episode").isNotNull() & ((F.col("is_fact") == 1) | F.col("is_empty")))
+        activity.join(shown, ["patient_key", "day"]).drop("day")
+        .unionByName(empty, allowMissingColumns=True)
         .withColumn("payer_key", match_key(F.col("payer")))
         .groupBy("patient_key", "episode", "payer_key")
         .agg(
@@ -131,9 +138,13 @@ def episode_activity(referrals: DataFrame, transactions: DataFrame) -> DataFrame
 
 
 def episode_balance(referrals: DataFrame, transactions: DataFrame) -> DataFrame:
-    """Sum of transaction balances per episode, zero without transactions."""
+    """Sum of transaction balances per episode, zero without transactions; summed per day first."""
+    attributes = ["referral_date", "next_date", "visit_number", "referrals"]
+    days = _days_of(transactions, "remaining_balance").groupBy("patient_key", "day").agg(
+        F.sum("remaining_balance").cast(MONEY).alias("balance"))
+    placed = carry_forward(days, episodes(referrals), attributes)
     return (
-        episode_activity(referrals, transactions)
+        placed.where(F.col("episode").isNotNull() & ((F.col("is_fact") == 1) | F.col("is_empty")))
         .groupBy("patient_key", "episode")
         .agg(F.coalesce(F.sum("balance"), F.lit(0)).cast(MONEY).alias("remaining_balance"))
         .select("patient_key", "episode.*", "remaining_balance")

@@ -128,7 +128,8 @@ def test_coercion(spark):
     assert column(spark, ["1752-12-31", "2024-03-05 23:59:59"], coerce.to_date) == [
         D(1752, 12, 31), D(2024, 3, 5)]
     schema = RAW["TransactionsRaw"]
-    assert column(spark, ["x" * 300], lambda c: coerce.coerce(c, schema["insurance_name"])) == ["x" * 255]
+    assert column(spark, ["x" * 300], lambda c: coerce.coerce(c, schema["insurance_name"])) == ["x" * 300]
+    assert column(spark, ["x" * 300], lambda c: coerce.coerce(c, DAILY_TRANSACTIONS["insurance_name"])) == ["x" * 255]
     assert column(spark, ["8601234.0", "86-1.0"], lambda c: coerce.coerce(c, schema["patient_number"])) == [
         "8601234", "86-1.0"]
     assert column(spark, ["1.23456", "$3"], lambda c: coerce.coerce(c, schema["charges"])) == [

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from episode_mart.operators import episodes as ep
 from episode_mart.operators import patients
 from episode_mart.operators.payers import episode_totals
-from episode_mart.operators.skew import join_by_key
+from episode_mart.operators.skew import hot_keys_of, join_by_key
 
 D = datetime.date
 
@@ -106,3 +106,60 @@ def test_demographics_equal_chained_left_joins(spark):
             frame(rp, "patient_id string, status_icon string"),
             frame(ar, "patient_id string, status_icon string"), hot_rows)
         assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+
+
+@pytest.fixture
+def no_aqe(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions",
+                                          "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def spread(df, key, value):
+    """Rows of a key in each partition."""
+    return [r["count"] for r in df.where(F.col(key) == value).groupBy(F.spark_partition_id()).count().collect()]
+
+
+def test_a_hot_key_in_one_input_partition_is_spread(no_aqe):
+    facts = no_aqe.range(2_000).select(F.lit("x").alias("k"), "id").coalesce(1)
+    lookup = no_aqe.createDataFrame([("x", 2_000, "X")], "k string, n long, name string")
+    joined = join_by_key(facts, lookup, ["k"], "n", hot_rows=100)
+    parts = spread(joined, "k", "x")
+    assert sum(parts) == 2_000 and len(parts) >= 10 and max(parts) <= 500
+
+
+def test_all_hot_keys_are_split_and_unkeyed_rows_are_not_shuffled(no_aqe):
+    facts = no_aqe.range(40_000).select((F.col("id") % 2_000).cast("string").alias("k"), "id").unionByName(
+        no_aqe.range(5).select(F.lit(None).cast("string").alias("k"), "id"))
+    lookup = facts.groupBy("k").agg(F.count("*").alias("n")).where("k is not null").withColumn("name", F.upper("k"))
+    hot = hot_keys_of(lookup, ["k"], "n", 5)
+    assert hot.count() == 2_000 and hot.agg(F.min("_salts")).first()[0] == 4
+    joined = join_by_key(facts, lookup, ["k"], "n", hot_rows=5)
+    assert joined.count() == 40_005 and joined.where("k is null and name is null").count() == 5
+    split = joined.where("k is not null").select("k", F.spark_partition_id().alias("p")).distinct().groupBy("k").count()
+    assert split.where("count > 1").count() > 1_900
+
+
+def test_a_patient_with_many_rows_on_both_sides_is_spread(no_aqe):
+    one = no_aqe.range(2_000)
+    birth = one.select(F.lit("p").alias("patient_id"), F.date_add(F.lit(D(2000, 1, 1)), F.col("id").cast("int")).alias("date_of_birth"))
+    few = no_aqe.createDataFrame([("p", "S"), ("p", "T"), ("q", "S")], "patient_id string, status_icon string")
+    insurance = no_aqe.createDataFrame([("p", "X", "Y")], "patient_id string, company_name string, primary_flag string")
+    got = patients.demographics(insurance, birth, few, few, hot_rows=100)
+    parts = spread(got, "patient_id", "p")
+    assert sum(parts) == 8_000 and len(parts) >= 10 and max(parts) <= 2_000
+    assert got.where("patient_id = 'q'").count() == 1
+
+
+def test_the_patient_window_sees_no_payer(spark):
+    rf = spark.createDataFrame([("a", D(2024, 1, 1))], "patient_id string, referral_date date")
+    tx = spark.createDataFrame([("a", D(2024, 1, 2), "X", 1, 1)], "patient_number_updated string, from_dos date, "
+                               "insurance_name string, remaining_balance int, units int")
+    for df in (ep.episode_activity(rf, tx), ep.episode_balance(rf, tx)):
+        windows = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+        assert windows and not any("payer" in w or "insurance" in w for w in windows)
