@@ -36,18 +36,19 @@ def words_of(text: str) -> Column:
     return F.regexp_extract_all(F.lower(F.col(text)), F.lit(_WORD), F.lit(0))
 
 
-def _seeds(words: Column, at: Column) -> Column:
-    """One hash per mask of the window that begins at ``at``."""
-    return F.array(*[F.xxhash64(F.lit(n), *[F.get(words, at + i) for i, m in enumerate(mask) if m == "1"])
+def _seeds() -> Column:
+    """One hash per mask of the window that begins at ``at``, from the words' hashes."""
+    return F.array(*[F.xxhash64(F.lit(n), *[F.get("hashes", F.col("at") + i) for i, m in enumerate(mask) if m == "1"])
                      for n, mask in enumerate(MASKS)])
 
 
 def _windows(df: DataFrame, *keep: str) -> DataFrame:
-    """(keep, words, at) for every window of a table with a ``words`` array."""
+    """(keep, words, hashes, at) for every window of a table with a ``words`` array."""
     # not a filter, which would split the text a second time
     starts = F.when(F.size("words") >= SPAN, F.sequence(F.lit(0), F.size("words") - SPAN)).otherwise(
         F.array().cast("array<int>"))
-    return df.select(*keep, "words", F.explode(starts).alias("at"))
+    hashed = df.select(*keep, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    return hashed.select(*keep, "words", "hashes", F.explode(starts).alias("at"))
 
 
 def benchmark_seeds(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
@@ -55,7 +56,7 @@ def benchmark_seeds(benchmark: DataFrame, item: str = "item_id", text: str = "te
     items = benchmark.select(F.col(item).alias("item_id"), words_of(text).alias("words")).distinct()
     first = F.greatest(F.col("at") - AROUND, F.lit(0))
     return (_windows(items, "item_id")
-            .select("item_id", F.explode(_seeds(F.col("words"), F.col("at"))).alias("seed"),
+            .select("item_id", F.explode(_seeds()).alias("seed"),
                     F.col("at").alias("item_at"), (F.col("at") - first).alias("before"),
                     F.slice("words", first + 1, F.col("at") + SPAN + AROUND - first).alias("around"),
                     F.least(F.lit(AGREE), F.ceil(SHARE * F.size("words")).cast("int")).alias("needed"))
@@ -68,16 +69,19 @@ def find(docs: DataFrame, benchmark: DataFrame, key: tuple[str, ...] = ("doc_id"
     seeds = benchmark_seeds(benchmark, item, item_text)
     blocks = max(1, math.ceil(seeds.count() / block))
     windows = (_windows(docs.select(*key, words_of(text).alias("words")), *key)
-               .select(*key, "words", "at", F.explode(_seeds(F.col("words"), F.col("at"))).alias("seed")))
+               .select(*key, "words", "at", F.explode(_seeds()).alias("seed")))
     begin = F.col("at") - F.col("before")
-    # spelled out, so that lookup and check stay in the generated stage and windows are never rows of their own
-    agree = sum(F.coalesce(F.get("words", begin + i) == F.get("around", F.lit(i)), F.lit(False)).cast("int")
-                for i in range(SPAN + 2 * AROUND))
+    own = F.slice("words", F.greatest(begin, F.lit(0)) + 1, F.size("around") + F.least(begin, F.lit(0)))
+    side = F.struct(own.alias("own"), F.greatest(-begin, F.lit(0)).alias("shift"), "around", "needed")
+    agree = F.size(F.filter(F.sequence(F.lit(0), F.size("side.around") - 1), lambda i: F.get(
+        "side.own", i - F.col("side.shift")) == F.get("side.around", i)))
     passes = []
     for n in range(blocks):
         part = seeds.where(F.pmod(F.col("seed"), F.lit(blocks)) == n)
-        passes.append(windows.join(F.broadcast(part), "seed").select(
-            *key, "item_id", "at", "item_at", "needed", agree.alias("agree")).where(F.col("agree") >= F.col("needed")))
+        # hits leave the generated stage as small rows; the generator keeps their check out of that stage
+        hits = windows.join(F.broadcast(part), "seed").select(
+            *key, "item_id", "at", "item_at", F.explode(F.array(side)).alias("side"))
+        passes.append(hits.withColumn("agree", agree).where("agree >= side.needed").drop("side"))
     hits = reduce(DataFrame.unionAll, passes)
     return hits.groupBy(*key, "item_id").agg(
         F.count("*").alias("n_hits"), F.max("agree").cast("long").alias("n_agree"),
