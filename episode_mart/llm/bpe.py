@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from episode_mart.llm.common import map_batches
+
 # Fixed value: the pre-splitting pattern of byte-level vocabularies.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHED = 300_000
@@ -212,4 +214,4 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(decoded, pa.string())], names)
 
-    return kept.mapInArrow(run, schema)
+    return map_batches(kept, run, schema)

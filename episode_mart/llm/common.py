@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,11 +28,29 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def chosen(df: DataFrame, share) -> Column:
+    """True for about ``share`` of the rows, by the hash of all their values: copies with other ids differ."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    space = 1 << 30
+    return F.pmod(F.xxhash64(*plain), F.lit(space)) < share * space
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of every text; null is empty."""
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
+def map_batches(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for columns of any name, dots included."""
+    inner = T.StructType([T.StructField(f"_{i}", f.dataType) for i, f in enumerate(schema.fields)])
+
+    def renamed(batches):
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, inner.names)
+
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]).mapInArrow(renamed, inner).toDF(*schema.names)
+
+
 def with_columns(df: DataFrame, column: str, fields: list[tuple[str, str]],
                  compute: Callable[[], Callable[[pa.Array], list[list]]]) -> DataFrame:
     """Columns computed from ``column`` in Arrow batches; equally named columns of ``df`` are replaced.
@@ -57,4 +75,4 @@ def with_columns(df: DataFrame, column: str, fields: list[tuple[str, str]],
             arrays = [pa.array(v, t) for v, t in zip(values, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names)
 
-    return kept.mapInArrow(run, schema)
+    return map_batches(kept, run, schema)

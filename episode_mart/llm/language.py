@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episode_mart.llm.common import with_columns
+from episode_mart.llm.common import chosen, with_columns
 
 UNDETERMINED = "und"
 SAMPLE_DOCS = 8_000
@@ -98,14 +98,13 @@ class LanguageModel:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang",
           sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     """Fit on at most about ``sample_docs`` of the rows that have a text and a language."""
-    labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rows = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    rows = {r["lang"]: r["count"] for r in labelled.groupBy(F.col(lang).alias("lang")).count().collect()}
     if not rows:
         return LanguageModel([])
-    each, space = sample_docs / len(rows), 1 << 30
-    share = F.create_map(*[F.lit(v) for k, n in rows.items() for v in (k, int(min(1, each / n) * space))])
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(space)) < share[F.col("lang")])
+    each = sample_docs / len(rows)
+    share = F.create_map(*[F.lit(v) for k, n in rows.items() for v in (k, min(1.0, each / n))])
+    sample = labelled.where(chosen(labelled, share[F.col(lang)])).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches):
         for batch in batches:

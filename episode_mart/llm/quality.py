@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from episode_mart.llm.common import texts
+from episode_mart.llm.common import map_batches, texts
 
 COMMON = 0.002
 BUCKETS = 1 << 14
@@ -227,4 +227,4 @@ def judge(docs: DataFrame, found: dict, text: str = "text", lang: str = "lang",
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *[pa.array(list(v), t) for v, t in zip(values, types, strict=True)]], schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return map_batches(kept, run, schema)

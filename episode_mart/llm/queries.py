@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from episode_mart.llm import bpe, chats, contamination, language, licenses, neardup, privacy, quality, secrets, webpages
 from episode_mart.llm.common import held_out, table
+from episode_mart.llm.oracles import ORACLES as SQL
 from episode_mart.llm.spans import let, running
 
 
@@ -91,4 +92,4 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+ORACLES = {**SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}

@@ -1,0 +1,25 @@
+"""Queries that SQL can express against that SQL."""
+
+import duckdb
+import pytest
+from compare import DATA, TABLES, rows_of
+
+from episode_mart.llm.queries import ORACLES, QUERIES
+
+
+@pytest.mark.parametrize("name", list(ORACLES))
+def test_query_equals_oracle(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{DATA}/sf0.01/{t}.parquet'")
+    result = con.execute(ORACLES[name])
+    columns = [d[0] for d in result.description]
+    df = QUERIES[name](spark, f"{DATA}/sf0.01")
+    assert sorted(columns) == sorted(df.columns)
+    assert rows_of(df.columns, df.collect()) == rows_of(columns, result.fetchall())
+
+
+def test_each_dealt_operator_has_one_query():
+    for n in range(1, 11):
+        assert sum(q.startswith(f"op{n}_") for q in QUERIES) == 1
+    assert "pipeline" in QUERIES
