@@ -16,7 +16,7 @@ HEADLINE = [
     "episodes", "profile_nulls", "name_parse", "id_tx_normalize", "tx_remaining_balance",
     "mart_patients", "denial_assign_episode", "csv_round_trip", "episode_balance", "top_payers",
     "tx_assign_episode", "enrich_referrals", "enrich_transactions", "clean_transactions",
-    "mart_billing",
+    "mart_billing", "surrogate_key", "ingest_all", "refresh",
 ]
 
 

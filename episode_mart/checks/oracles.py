@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from episode_mart.checks.adapters import VIEWS, oracle_view
-from episode_mart.schemas import MARTS
 
 _AS_OF = "date '2026-01-01'"
 _M = "decimal(19,4)"
@@ -168,16 +167,63 @@ _RETIRED = ["bal_trans_from_tiger", "bankruptcy", "indigent_charity", "bundled_n
             "collection_agency_payments", "collection_agency_refunds", "collection_agency_transfers",
             "collection_agency_adjustment", "collection_agency_fee_adjustment"]
 
-_SQL_TYPES = {"string": "varchar", "date": "date", "int": "int", "double": "double",
-              "decimal(12,2)": "decimal(12,2)", "decimal(19,4)": _M}
+# Columns and types of the reporting tables, written out apart from the engine's own list.
+_MART_COLUMNS = {
+    "Referral_Masterlist": [
+        ("varchar", """patient_name patient_mrn"""),
+        ("int", """age visit_number"""),
+        ("date", """referral_date"""),
+        ("varchar", """state disease_site referring_hospital referring_physician attending_physician
+            primary_insurance secondary_insruance insurance_approval final_approval reason_code"""),
+        ("date", """consult_date sim_date intake_acceptance_date decision_date insurance_decision_date"""),
+        ("varchar", """inquiry_source"""),
+    ],
+    "AriaData": [
+        ("varchar", """patient_id"""),
+        ("date", """patient_dob"""),
+        ("varchar", """at_risk research_patient_flag active_insurance primary_flag"""),
+    ],
+    "Fractions": [
+        ("varchar", """patient_id activity_name"""),
+        ("date", """activity_start_date"""),
+        ("varchar", """treatment_status icd_10_diagnosis resource primary_oncologist"""),
+    ],
+    "ICD_Crosswalk": [
+        ("varchar", """prefix icd_10_code description icd_10_diagosis_category icd_10_sub_category"""),
+    ],
+    "Payer_Crosswalk": [
+        ("varchar", """insurance_name insurance_category_abv insurance_category insurance_roll_up"""),
+    ],
+    "RCB_Billing": [
+        ("date", """payment_date_updated payment_date_voided voucher_date_updated voucher_date_voided"""),
+        ("varchar", """account_type insurance_abv insurance_name patient_number patient_full_name"""),
+        ("date", """dos"""),
+        ("int", """voucher"""),
+        ("date", """bill_date re_bill_date"""),
+        ("varchar", """billing_provider"""),
+        ("double", """npi"""),
+        ("varchar", """patient_subscriber_id procedure_code procedure_description modifier diagnosis_code"""),
+        ("int", """units"""),
+        ("decimal(12,2)", """charges personal_payments insurance_payments intl_payments contractual_adjustments
+            charity refund_amounts allowed total_payments total_adjustments bal_trans_from_tiger
+            intl_adjustment bankruptcy patient_balance_deemed_uncollectible charity_write_off
+            indigent_charity bundled_ncci_edit charge_error global_period_not_billable
+            appeals_exhausted_not_med_necessary charges_not_receivedfrom_site_timely
+            deceased_patient financial_hardship g6017_not_covered mue_max_units_exceeded
+            no_authorization_obtained noncovered_service no_transfer_agreement_inpat
+            outof_network prompt_pay_adjustment small_balance_adjustment
+            collection_agency_payments collection_agency_refunds collection_agency_transfers
+            collection_agency_adjustment collection_agency_fee_adjustment all_other_adjustments
+            remaining_balance"""),
+        ("date", """date_uploaded"""),
+    ],
+}
 
 
 def _mart(mart: str, source: str, **values: str) -> str:
     """All columns of a mart; those without a value are null."""
-    columns = []
-    for f in MARTS[mart]:
-        kind = _SQL_TYPES[f.dataType.simpleString()]
-        columns.append(f"cast({values.get(f.name, 'null')} as {kind}) as {f.name}")
+    columns = [f"cast({values.get(name, 'null')} as {kind}) as {name}"
+               for kind, names in _MART_COLUMNS[mart] for name in names.split()]
     return f"select {', '.join(columns)} from {source}"
 
 
