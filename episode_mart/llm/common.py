@@ -23,6 +23,26 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written intermediate tables of one run, deleted together once no result needs them any more."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+        self.spark: SparkSession | None = None
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.spark, path = df.sparkSession, scratch_dir(df.sparkSession)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths.clear()
+
+
 def held_out(doc_id="doc_id"):
     """True for the quarter of documents that a learner must not see; false without an id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

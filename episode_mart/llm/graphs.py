@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episode_mart.llm.common import keep
+from episode_mart.llm.common import Scratch
 
 
 def _least(links: DataFrame) -> DataFrame:
     return links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """(node, root) of every node of the links; ``root`` is the smallest node that can be reached.
 
     Alternates two steps until nothing changes: each node links its larger neighbours to the smallest node
     around it, then its smaller neighbours and itself. Links never outnumber those given, the number of
     rounds grows with the logarithm of the largest component, and every step is sums and equality joins.
+    The result reads a table of ``scratch``.
     """
+    keep = (scratch or Scratch()).keep
     current = keep(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
 
     def state(df: DataFrame) -> tuple:

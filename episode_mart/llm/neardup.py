@@ -4,9 +4,13 @@ Documents with equal sets are one node. Two nodes whose Jaccard similarity reach
 shingle among the first n - ceil(t n) + 1 of either set, whatever the common order of shingles; the order
 here is by hash, with shingles of very many prefixes last. Nodes that share such a shingle form a tile.
 
-1. The first node of each tile is compared with the others, which makes most of every group one component.
+1. The first node of each tile is compared with the others. Of the pairs that may link, every node's
+   likeliest is verified, which makes most of every group one component.
 2. What a tile then holds of different components is cut into blocks of bounded size, and blocks are
-   compared with each other. Sizes are banded first: only |A| >= t |B| can link.
+   compared with each other. Of the pairs that may link, a spanning forest is verified.
+3. Blocks are compared once more, and all pairs of different components that may still link are verified.
+
+Sizes are banded first: only |A| >= t |B| can link.
 
 A pair is compared by parity bitmaps of hashed shingles: common shingles cancel out, so the bit count of
 their difference bounds the overlap from above. Pairs that pass are verified exactly by intersecting the
@@ -29,14 +33,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episode_mart.llm.common import keep, texts
+from episode_mart.llm.common import Scratch, keep, texts
 from episode_mart.llm.graphs import components
 
 WORDS = 3
 PERCENT = 90
 BITS = 2048
-BLOCK = 512
-HEAVY = 1_000
+BLOCK = 256
+HEAVY = 10_000
+COMPARED = 400_000
 BUCKETS = 1 << 20
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -121,24 +126,70 @@ def _may_link(percent: int, na: Column, nb: Column, differing: Column | None = N
 
 
 def _stars(tiles: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a tile's first node and another that pass sizes and bitmaps."""
-    pairs = tiles.where("node <> first.node").select(
-        F.col("first.node").alias("a"), F.col("node").alias("b"), F.col("first.n").alias("na"), F.col("n").alias("nb"))
-    pairs = pairs.where(_may_link(percent, F.col("na"), F.col("nb"))).distinct()
-    of = nodes.select("node", "bits")
-    with_bits = (pairs.join(of.select(F.col("node").alias("b"), F.col("bits").alias("bb")), "b")
-                 .join(of.select(F.col("node").alias("a"), F.col("bits").alias("ba")), "a"))
+    """Pairs (a, b) of a tile's first node and another that pass sizes and bitmaps, with the share that differs."""
+    pairs = tiles.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    with_bits = (pairs.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
+                 .join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
+                 .where(_may_link(percent, F.col("na"), F.col("nb"))))
     differing = sum(F.bit_count(F.get("ba", F.lit(i)).bitwiseXOR(F.get("bb", F.lit(i)))) for i in range(BITS // 64))
-    return with_bits.where(_may_link(percent, F.col("na"), F.col("nb"), differing)).select("a", "b")
-
-
-def _crossing(tiles: DataFrame, found: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a tile that lie in different components and pass sizes and bitmaps; first nodes are done."""
-    members = (tiles.where("node <> first.node").join(found, "node", "left")
-               .select("key", "node", "n", F.coalesce("root", "node").alias("root")))
-    mixed = members.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    mixed = mixed.where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    members = members.join(mixed, "key").join(nodes.select("node", "bits"), "node")
+    return with_bits.withColumn("d", differing).where(_may_link(percent, F.col("na"), F.col("nb"), F.col("d"))).select(
+        "a", "b", (F.col("d") / (F.col("na") + F.col("nb"))).alias("score"))
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """Every node's pair with the least difference."""
+    def end(node: str, other: str) -> Column:
+        return F.struct(F.col(node).alias("node"), F.struct("score", F.col(other).alias("other")).alias("pair"))
+    ends = pairs.select(F.explode(F.array(end("a", "b"), end("b", "a"))).alias("end")).select("end.*")
+    best = ends.groupBy("node").agg(F.min("pair").alias("best"))
+    return best.select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct()
+
+
+def _forest(u: np.ndarray, v: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Indices of edges (u, v) that connect all that the edges connect, least scores first, without cycles."""
+    labels, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = ends[:len(u)], ends[len(u):]
+    component, chosen = np.arange(len(labels)), np.zeros(len(u), bool)
+    while True:
+        cu, cv = component[u], component[v]
+        edges = np.flatnonzero(cu != cv)
+        if not len(edges):
+            return np.flatnonzero(chosen)
+        own, other, edge = (np.concatenate(p) for p in ((cu[edges], cv[edges]), (cv[edges], cu[edges]), (edges, edges)))
+        order = np.lexsort((edge, score[edge], own))
+        first = order[np.concatenate([[True], own[order][1:] != own[order][:-1]])]
+        chosen[edge[first]] = True
+        parent = np.arange(len(labels))
+        parent[own[first]] = other[first]
+        twice = parent[parent] == np.arange(len(labels))  # two components that chose each other
+        parent[twice & (np.arange(len(labels)) < parent)] = np.flatnonzero(twice & (np.arange(len(labels)) < parent))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        component = parent[component]
+
+
+def _parted(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose nodes lie in different components so far."""
+    ra, rb = (found.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    return pairs.join(ra, "a", "left").join(rb, "b", "left").where(
+        F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "score")
+
+
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, node, root, blocks) of the tiles that hold nodes of several components."""
+    rooted = members.select("key", "node").join(found, "node", "left").select(
+        "key", "node", F.coalesce("root", "node").alias("root"))
+    tiles = rooted.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    tiles = tiles.where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    return rooted.join(tiles, "key")
+
+
+def _crossing(mixed: DataFrame, nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs (a, b, score) of a tile that lie in different components and pass sizes and bitmaps.
+
+    ``forest``: of each two blocks only as many as connect all components that these pairs connect.
+    """
+    members = mixed.join(nodes.select("node", "n", "bits"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = members.select("key", "node", "n", "root", "bits", own.alias("own"), F.explode(
         F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -146,64 +197,97 @@ def _crossing(tiles: DataFrame, found: DataFrame, nodes: DataFrame, percent: int
                          "node", "n", "root", "bits")
     sorted_tiles = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
-    def pairs_of(group: pa.Table):
-        own, lo, hi = (np.asarray(group.column(c).combine_chunks()) for c in ("own", "lo", "hi"))
-        node, n, root = (np.asarray(group.column(c).combine_chunks()) for c in ("node", "n", "root"))
-        bits = np.asarray(group.column("bits").combine_chunks().flatten()).view(np.uint64).reshape(len(node), -1)
-        left = np.flatnonzero(own == lo[0])
-        right = left if lo[0] == hi[0] else np.flatnonzero(own == hi[0])
-        for i in left:
-            others = right[(root[right] != root[i]) & ((lo[0] != hi[0]) | (right > i))]
-            sizes = n[i] + n[others]
-            near = 100 * np.minimum(n[i], n[others]) >= percent * np.maximum(n[i], n[others])
-            others, sizes = others[near], sizes[near]
-            if not len(others):
-                continue
-            differing = np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1)
-            passed = others[(100 + percent) * (sizes - differing) >= 2 * percent * sizes]
-            if len(passed):
-                yield np.minimum(node[i], node[passed]), np.maximum(node[i], node[passed])
+    def pairs_of(rows: dict[str, np.ndarray], ends: np.ndarray):
+        """Of rows whose groups end at ``ends`` (by row): indices of passing pairs, and their scores."""
+        at = np.arange(len(ends))
+        after = ends - at - 1  # rows of the group behind each row
+        for begin, stop in _runs(after):
+            i = np.repeat(at[begin:stop], after[begin:stop])
+            j = np.arange(len(i)) - np.repeat(np.cumsum(after[begin:stop]) - after[begin:stop], after[begin:stop]) + i + 1
+            n, root, block, lo, hi = (rows[c] for c in ("n", "root", "own", "lo", "hi"))
+            near = (root[i] != root[j]) & ((lo[i] == hi[i]) | (block[i] != block[j]))
+            near &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            i, j = i[near], j[near]
+            differing = np.bitwise_count(rows["bits"][i] ^ rows["bits"][j]).sum(axis=1)
+            sizes = n[i] + n[j]
+            good = (100 + percent) * (sizes - differing) >= 2 * percent * sizes
+            yield i[good], j[good], differing[good] / sizes[good]
+
+    def compared(table: pa.Table):
+        if len(table) < 2:
+            return
+        rows = {c: np.asarray(table.column(c).combine_chunks()) for c in ("key", "lo", "hi", "own", "node", "n", "root")}
+        bits = table.column("bits").combine_chunks()
+        rows["bits"] = np.asarray(bits.flatten()).view(np.uint64).reshape(len(table), -1)
+        new = np.zeros(len(table), bool)
+        for c in ("key", "lo", "hi"):
+            new[1:] |= rows[c][1:] != rows[c][:-1]
+        group = np.cumsum(new)
+        ends = np.append(np.flatnonzero(new), len(table))[group]
+        found = list(pairs_of(rows, ends))
+        i, j, score = (np.concatenate(p) for p in zip(*found, strict=True))
+        if forest and len(i):
+            label = np.unique(np.stack([group, rows["root"]]), axis=1, return_inverse=True)[1].ravel()
+            picked = _forest(label[i], label[j], score)
+            i, j, score = i[picked], j[picked], score[picked]
+        a, b = rows["node"][i], rows["node"][j]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(score, pa.float64())], ["a", "b", "score"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-
-        def flush(table: pa.Table):
-            if not len(table):
-                return
-            where = np.stack([np.asarray(table.column(c).combine_chunks()) for c in ("key", "lo", "hi")])
-            cuts = np.flatnonzero((where[:, 1:] != where[:, :-1]).any(axis=0)) + 1
-            for begin, end in zip([0, *cuts], [*cuts, len(table)], strict=True):
-                if end - begin > 1:
-                    for a, b in pairs_of(table.slice(begin, end - begin)):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([*held, batch])
-            last = [table.column(c)[-1].as_py() for c in ("key", "lo", "hi")]
             same = np.ones(len(table), bool)
-            for c, value in zip(("key", "lo", "hi"), last, strict=True):
-                same &= np.asarray(table.column(c).combine_chunks()) == value
+            for c in ("key", "lo", "hi"):
+                values = np.asarray(table.column(c).combine_chunks())
+                same &= values == values[-1]
             begin = int(np.argmax(same))  # the last group may go on in the next batch
-            yield from flush(table.slice(0, begin))
+            yield from compared(table.slice(0, begin))
             held = table.slice(begin).to_batches()
         if held:
-            yield from flush(pa.Table.from_batches(held))
+            yield from compared(pa.Table.from_batches(held))
+
+    return sorted_tiles.mapInArrow(run, "a long, b long, score double")
 
-    return sorted_tiles.mapInArrow(run, "a long, b long").distinct()
 
+def _runs(counts: np.ndarray):
+    """Consecutive ranges whose counts add up to about COMPARED."""
+    total, begin = np.cumsum(counts), 0
+    while begin < len(counts):
+        before = total[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(total, before + COMPARED, "right")))
+        yield begin, stop
+        begin = stop
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_column: str, text: str, words: int,
-              percent: int) -> DataFrame:
-    """The pairs whose shingle sets overlap enough, from the whole texts of the nodes' first rows."""
-    of = nodes.select("node", "row")
-    pairs = keep(pairs.join(of.select(F.col("node").alias("a"), F.col("row").alias("ra")), "a")
+
+class _Texts:
+    """Whole texts of the nodes' first rows. Those fetched once are kept for later rounds."""
+
+    def __init__(self, docs: DataFrame, id_column: str, text: str, scratch: Scratch):
+        self.keep = scratch.keep
+        row = F.xxhash64(F.col(id_column).cast("long"), F.col(text))
+        self.docs, self.stored = docs.select(row.alias("row"), F.col(text).alias("text")), None
+
+    def of(self, needed: DataFrame) -> DataFrame:
+        """(row, text) of at least the rows needed."""
+        if self.stored is not None:
+            needed = self.keep(needed.join(self.stored.select("row"), "row", "left_anti"))
+            if needed.isEmpty():
+                return self.stored
+        fetched = self.keep(within(self.docs, needed, "row").join(needed, "row", "left_semi").dropDuplicates(["row"]))
+        self.stored = fetched if self.stored is None else self.stored.unionAll(fetched)
+        return self.stored
+
+
+def _verified(pairs: DataFrame, source: _Texts, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose shingle sets overlap enough."""
+    of, keep = nodes.select("node", "row"), source.keep
+    pairs = keep(pairs.select("a", "b").join(of.select(F.col("node").alias("a"), F.col("row").alias("ra")), "a")
                  .join(of.select(F.col("node").alias("b"), F.col("row").alias("rb")), "b"))
-    needed = pairs.select(F.col("ra").alias("row")).unionAll(pairs.select("rb")).distinct()
-    row = F.xxhash64(F.col(id_column).cast("long"), F.col(text))
-    bodies = (within(docs.select(row.alias("row"), F.col(text).alias("text")), needed, "row")
-              .join(needed, "row", "left_semi").dropDuplicates(["row"]))
+    bodies = source.of(pairs.select(F.col("ra").alias("row")).unionAll(pairs.select("rb")).distinct())
     both = (pairs.join(bodies.select(F.col("row").alias("rb"), F.col("text").alias("tb")), "rb")
             .join(bodies.select(F.col("row").alias("ra"), F.col("text").alias("ta")), "ra"))
 
@@ -220,7 +304,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_column: st
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], ["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return keep(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
 
 
 def within(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
@@ -235,11 +319,17 @@ def beyond(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(wanted.select(of.alias("_bucket")).distinct()), of == F.col("_bucket"), "left_anti")
 
 
-def _tiles(nodes: DataFrame) -> DataFrame:
-    """(key, node, n, first) of every prefix shingle that two or more nodes share."""
-    keyed = nodes.select(F.explode("prefix").alias("key"), "node", "n")
-    shared = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("m"))
-    return keyed.join(shared.where("m > 1").drop("m"), "key")
+def _nodes(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row per node. Rows whose node occurs once, most of them, are not shuffled."""
+    rows = rows.where("node is not null")
+    repeated = scratch.keep(rows.groupBy("node").count().where("count > 1").select("node"))
+    return beyond(rows, repeated, "node").unionAll(within(rows, repeated, "node").dropDuplicates(["node"]))
+
+
+def _shared(nodes: DataFrame) -> DataFrame:
+    """(key, first, m): prefix shingles of two or more nodes, with the first of them and their number."""
+    keyed = nodes.select(F.explode("prefix").alias("key"), "node")
+    return keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("m")).where("m > 1")
 
 
 def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS,
@@ -250,21 +340,32 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words:
 
     ``percent``: two documents link when 100 * intersection >= percent * union of their shingle sets.
     """
+    scratch = Scratch()
     rows = keep(signatures(docs, id_column, text, words, percent))
-    keys = rows.where("node is not null").select(F.explode("prefix").alias("key"))
     limit = max(HEAVY, rows.count() // 1000)  # so that at most a bounded number of keys can exceed it
-    heavy = [r["key"] for r in keys.groupBy("key").count().where(F.col("count") > limit).collect()]
+    alone = _nodes(rows, scratch)
+    shared = scratch.keep(_shared(alone))
+    heavy = [r["key"] for r in shared.where(F.col("m") > limit).select("key").collect()]
     if heavy:
         late = np.sort(np.array(heavy, np.int64).view(np.uint64))
         rows = keep(signatures(docs, id_column, text, words, percent, late))
-    nodes = keep(rows.where("node is not null").dropDuplicates(["node"]).select("node", "n", "row", "prefix", "bits"))
-    tiles = keep(_tiles(nodes))
-    links = keep(_verified(_stars(tiles, nodes, percent), docs, nodes, id_column, text, words, percent))
-    crossing = _crossing(tiles, components(links), nodes, percent)
-    more = _verified(crossing, docs, nodes, id_column, text, words, percent)
-    found = components(links.unionAll(more))
+        alone = _nodes(rows, scratch)
+        shared = scratch.keep(_shared(alone))
+    keyed = alone.select(F.explode("prefix").alias("key"), "node")
+    tiles = scratch.keep(keyed.join(shared.select("key", "first"), "key"))
+    nodes = scratch.keep(alone.select("node", "n", "row", "bits"))
+    source, stars = _Texts(docs, id_column, text, scratch), scratch.keep(_stars(tiles, nodes, percent))
+    links = _verified(_likeliest(stars), source, nodes, words, percent)
+    found, members = components(links, scratch=scratch), tiles.where("node <> first")
+    for forest in (True, False):
+        members, stars = scratch.keep(_mixed(members, found)), scratch.keep(_parted(stars, found))
+        crossing = _crossing(members, nodes, percent, forest)
+        pairs = (_likeliest(stars) if forest else stars.select("a", "b")).unionAll(crossing.select("a", "b")).distinct()
+        links = links.unionAll(_verified(pairs, source, nodes, words, percent))
+        found = components(links, scratch=scratch)
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = keep(least.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    scratch.clear()
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = rooted.join(of_root, "root").select("node", "root", "component_id")
     return rows.select("doc_id", "row", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left").select(

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import pyarrow.parquet as pq
 import pytest
 from compare import DATA
@@ -115,3 +117,26 @@ def test_components(spark):
         parent[b] = a
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: root(x) for a, b in links if a != b for x in (a, b)}
+
+
+def test_forest_connects_what_the_edges_connect():
+    rng = np.random.default_rng(1)
+    for n, m in ((2, 1), (10, 12), (50, 200), (300, 5000)):
+        u, v = rng.integers(0, n, m) * 7, rng.integers(0, n, m) * 7
+        u, v = u[u != v], v[u != v]
+        score = rng.integers(0, 4, len(u)) / 4
+        picked = neardup._forest(u, v, score)
+
+        def parts(edges):
+            parent = {x: x for x in [*u, *v]}
+
+            def root(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+            for e in edges:
+                parent[root(u[e])] = root(v[e])
+            return {x: min(y for y in parent if root(y) == root(x)) for x in parent}
+        whole = parts(range(len(u)))
+        assert parts(picked) == whole
+        assert len(picked) == len(whole) - len(set(whole.values()))
