@@ -5,7 +5,7 @@ A page is cut into leaf blocks, the texts between block-level tags. Each block i
 links, punctuation). A bidirectional LSTM in numpy reads the whole sequence of blocks, so that every
 label depends on the document around it.
 
-The labeller is trained here on ``SAMPLE_PAGES`` pages chosen by hash, whose blocks are labelled by the
+The labeller is trained here on about ``SAMPLE_PAGES`` pages chosen by hash, whose blocks are labelled by the
 meaning of their containers (article, main, nav, footer, aside, form ...). To learn more containers than
 the sample shows, blocks are also moved into other containers of the same meaning. Training is
 deterministic.
@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episode_mart.llm.common import with_columns
+from episode_mart.llm.common import chosen, with_columns
 
 SAMPLE_PAGES = 200
 PATHS, WORDS, SHAPES = 128, 64, 6
@@ -280,10 +280,11 @@ def train(pages: list[str]) -> Labeller:
 
 
 def learn(pages: DataFrame, column: str = "html", sample_pages: int = SAMPLE_PAGES) -> Labeller:
-    """Train on the ``sample_pages`` pages with the smallest hashes."""
-    sample = (pages.where(F.length(column) > 0).select(F.col(column).alias("html")).distinct()
-              .orderBy(F.xxhash64("html"), "html").limit(sample_pages))
-    return train([r["html"] for r in sample.collect()])
+    """Train on about ``sample_pages`` pages, chosen by the hash of their rows."""
+    filled = pages.where(F.length(column) > 0)
+    share = min(1.0, sample_pages / max(1, filled.count()))
+    sample = filled.where(chosen(filled, F.lit(share))).select(F.col(column).alias("html"))
+    return train(sorted(r["html"] for r in sample.collect()))
 
 
 def _extracted(labeller: Labeller, pages: list[str]) -> list[tuple[str, int, int]]:
