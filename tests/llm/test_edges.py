@@ -145,6 +145,17 @@ def test_personal_data(frame):
     assert privacy.scan(docs.limit(0)).count() == 0
 
 
+def test_terms_are_judged_by_the_whole_corpus(frame):
+    near = [(i, f"{w} questions regarding billing to box@mail.example {w}", None) for i, w in enumerate(["foo", "bar", "baz"])]
+    near += [(10 + i, f"please write {w} to user{i}@mail.example", None) for i, w in enumerate(["foo", "bar", "baz"] * 3)]
+    far = [(100 + i, f"questions regarding billing {w} are answered", None) for i, w in enumerate(["foo", "bar", "baz", "qux"])]
+    got = {r["doc_id"]: r["n_terms"] for r in privacy.report(privacy.scan(frame([*near, *far]))).collect()}
+    assert [got[i] for i in (0, 1, 2)] == [0, 0, 0]
+    copies = [(200 + i, "questions regarding billing are answered", None) for i in range(9)]  # one unit of evidence
+    got = {r["doc_id"]: r["spans"] for r in privacy.report(privacy.scan(frame([*near, *copies]))).collect()}
+    assert "generalise:4:13" in got[0].split(",")
+
+
 def chat(spark, rows):
     events = spark.createDataFrame(rows, "conv_id long, turn long, seq long, kind string, role string, text string")
     done = chats.render(events).select("conv_id", "formatted", "loss", chats.read_back(F.col("formatted")).alias("m"))
