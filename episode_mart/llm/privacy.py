@@ -9,8 +9,9 @@ without:
     certainty = n(term, entity) / (n(term) + 1)      how surely the term names the entity, smoothed by one unit
     gain      = log2(n(term, entity) * n / (n(term) * n(entity)))      bits learned about it
 
-A term that stands near an entity in at least ``SUPPORT`` units with a gain of at least ``GAIN`` bits and a certainty of at least ``GENERALISE``
-is generalised, from ``REMOVE`` on removed, in the whole text of every document that holds the entity. Since that certainty is more than half of n(term),
+A term that stands near an entity with a gain of at least ``GAIN`` bits and a certainty of at least ``GENERALISE``
+is generalised, from ``REMOVE`` on removed, in the whole text of every document that holds the entity. One unit is
+enough evidence to generalise if the term is found nowhere else. Since that certainty is more than half of n(term),
 a term reveals one entity at most. Terms are words of three or more letters or digits outside base spans.
 Everything is SQL functions; counts are summed before they are shuffled, and joins are plain equality joins that
 adaptive execution can split.
@@ -38,7 +39,6 @@ KINDS = ("email", "ip", "card", "phone")
 
 AROUND = 80
 TERM = r"[\p{L}\p{N}]{3,}"
-SUPPORT = 3
 GAIN = 1.0
 GENERALISE = 0.5
 REMOVE = 0.7
@@ -124,8 +124,7 @@ def disclosures(found: DataFrame, rows: DataFrame) -> DataFrame:
         F.sum("m").alias("n_near"), F.sum(F.col("m") - 1).alias("n_more"))
     both = seen.groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     # contexts alone give the least n(term): other pairs cannot become certain by the rest of the corpus
-    candidates = keep(both.join(near, "term").where(F.col("n_both") >= SUPPORT).where(
-        F.col("n_both") >= GENERALISE * (F.col("n_near") + 1)).select(
+    candidates = keep(both.join(near, "term").where(F.col("n_both") >= GENERALISE * (F.col("n_near") + 1)).select(
         "entity", "term", "n_both", "n_more"))
     hashes = found.groupBy("text_hash").agg(F.count("*").alias("rows"))
     repeated = keep(hashes.where("rows > 1").select("text_hash"))

@@ -156,6 +156,20 @@ def test_terms_are_judged_by_the_whole_corpus(frame):
     assert "generalise:4:13" in got[0].split(",")
 
 
+def test_terms_are_put_in_the_whole_text_and_from_one_context(frame):
+    filler = "the cat sat on the mat " * 10
+    docs = frame([(1, f"the Zorblax box zed@mail.example the cat {filler}then Zorblax left. the", None), (2, filler, None),
+                  (3, "the box then left cat", None), (4, f"{filler}Zed zed@mail.example +1 (499) 555-6503", None)])
+    docs = docs.unionAll(frame([(5, "the cat", None), (6, "then left box", None), (7, "sat mat then", None)]))
+    got = {r["doc_id"]: r["spans"].split(",") for r in privacy.report(privacy.scan(docs)).collect()}
+    text = docs.where("doc_id = 1").first()["text"]
+    assert [s for s in got[1] if s.startswith("gen")] == [
+        f"generalise:{at}:{at + 7}" for at in (4, text.rindex("Zorblax"))]
+    # a term is not sought in base spans, nor are their parts terms of a neighbour
+    safe = {r["doc_id"]: r["text"] for r in privacy.sanitise(docs).collect()}
+    assert "Zorblax" not in safe[1] and "[EMAIL]" in safe[4] and "[PHONE]" in safe[4]
+
+
 def chat(spark, rows):
     events = spark.createDataFrame(rows, "conv_id long, turn long, seq long, kind string, role string, text string")
     done = chats.render(events).select("conv_id", "formatted", "loss", chats.read_back(F.col("formatted")).alias("m"))
