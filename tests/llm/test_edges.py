@@ -216,6 +216,17 @@ def test_quality(spark, frame):
     assert quality.judge(docs.limit(0), found).count() == 0
 
 
+def test_quality_of_short_documents(frame):
+    words = [f"{a}{b}" for a in ("the", "cat", "sat", "mat", "hat") for b in ("", "s", "ly", "er")]
+    good = [(i, " ".join(random.Random(i).choices(words, k=300)), "en") for i in range(200)]
+    short = [(1_000, " ".join(random.Random(7).choices(words, k=70)), "en"),
+             (1_001, " ".join(f"x{i}y" for i in range(70)), "en"),
+             (1_002, " ".join(f"<#{i}|{7 * i}>" for i in range(70)), "en")]
+    found = quality.references(frame(good))
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(frame(short), found).collect()}
+    assert got == {1_000: True, 1_001: False, 1_002: False}
+
+
 def test_common_words_are_exact(spark, frame):
     rng = random.Random(7)
     words = [f"w{int(rng.paretovariate(0.6)) % 4000}" for _ in range(30_000)]
