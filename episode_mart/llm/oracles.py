@@ -49,4 +49,31 @@ c as (
   from t group by conv_id)
 select conv_id, n_turns, sha256(turns) as turns_sha256, length(learned) as loss_chars,
   sha256(learned) as loss_sha256, formatted_chars from c""",
+    "op12_hard_negatives": """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda c: floor(256 * c::double)) as x
+  from embeddings where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as own, list_inner_product(a.x, b.x)::bigint as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (
+  select anchor_id, id as positive_id, score as positive_score from scored where own
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, positive_id, positive_score, s.id as negative_id, s.score as negative_score,
+  row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.id) as rank
+from p join scored s on s.anchor_id = p.anchor_id and not s.own
+  and 80 * positive_score <= 100 * s.score and 100 * s.score <= 100 * positive_score
+qualify rank <= 5""",
+    "op13_url_filter": r"""
+with u as (
+  select page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') as path from pages)
+select page_id, host, path, r.rule, coalesce(r.verdict, 'allow') as verdict
+from u left join (values ('example.net', '/en/', 'example.net/en/', 'allow'), ('net', '/', 'net/', 'block'),
+  ('example.com', '/de/', 'example.com/de/', 'block'), ('org', '/fr/', 'org/fr/', 'allow')) r(h, p, rule, verdict)
+  on (host = h or suffix(host, '.' || h)) and prefix(path, p)
+qualify row_number() over (partition by page_id order by length(r.rule) desc) = 1""",
 }

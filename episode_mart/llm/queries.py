@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from episode_mart.llm import bpe, chats, contamination, language, licenses, neardup, privacy, quality, secrets, webpages
+from episode_mart.llm import (
+    bpe, chats, contamination, language, licenses, neardup, negatives, privacy, quality, secrets, urls, webpages, whitening)
 from episode_mart.llm.common import held_out, table
 from episode_mart.llm.oracles import ORACLES as SQL
 from episode_mart.llm.spans import let, running
@@ -79,6 +80,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.references(docs)).drop("text", "lang")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    rows = whitening.whiten(vectors, whitening.fit(vectors))
+    return rows.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained"))).select(
+        "vec_id", (F.col("pos") + 1).alias("component"), "n", "deviation", "col.whitened", "col.explained", "identity_error")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(
+        F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+# Host, path and verdict of the rules.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql("select * from values " + ", ".join(map(str, URL_RULES)) + " as rules(host, path, verdict)")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_language_id": op1_language_id,
@@ -91,5 +115,8 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_chat_format": op9_chat_format,
     "op10_quality_rules": op10_quality_rules,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_url_filter": op13_url_filter,
 }
 ORACLES = {**SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
