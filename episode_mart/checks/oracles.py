@@ -427,5 +427,6 @@ select 'PatientDOB', patient_id, date_of_birth, cast(null as {_M}) from patient_
   from refresh_in left join refresh_top using (pid, referral_date)
   left join xwalk on xwalk.payer = refresh_top.primary_payer""",
 }
+_SELECTS["refresh_changes"] = _SELECTS["refresh"]
 
 ORACLES = {name: _sql(select) for name, select in _SELECTS.items()}

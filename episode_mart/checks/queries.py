@@ -19,8 +19,9 @@ from episode_mart.operators.keys import with_key
 from episode_mart.operators.profile import column_profiles, sample_head
 from episode_mart.operators.rules import correct_ids, exclude_ids
 from episode_mart.plans import clean, enrich, ingest, marts
-from episode_mart.plans.refresh import refresh
+from episode_mart.plans.refresh import read_mart, refresh
 from episode_mart.schemas import RAW
+from episode_mart.sources import versions
 from episode_mart.sources.files import read_csv, scan_folder
 from episode_mart.sources.tables import scratch_dir, table_schema, write
 
@@ -115,6 +116,11 @@ def ingest_all(spark, sf):
     ]
     for _ in range(2):  # loading the same folders again changes nothing
         ingest.ingest_all(spark, specs, base)
+    try:  # nor does a load that writes its rows and then fails to commit
+        ingest.commit_load(spark, base, "TransactionsRaw", versions.Snapshot(),
+                           ingest.raw_table(spark, base, "TransactionsRaw"), False)
+    except versions.Conflict:
+        pass
     tables = [
         ingest.raw_table(spark, base, "TransactionsRaw").select(
             F.lit("TransactionsRaw").alias("table_name"), F.col("patient_number").alias("patient"),
@@ -134,7 +140,7 @@ def sink(spark, sf, mode):
     df = spark_view(spark, sf, "denial_data")
     for _ in range(2):
         write(df, path, mode)
-    return spark.read.parquet(path)
+    return versions.read_table(spark, path)
 
 
 def clean_and_save(spark, sf):
@@ -394,23 +400,52 @@ def enrich_transactions(spark, sf):
         "secondary_insurance", "insurance_abv", "insurance_cat", "payer_roll_up")
 
 
-def refreshed(spark, sf):
-    """Loaded raw tables through all stages; the billing table without its generated key."""
-    base = scratch_dir(spark)
-    for table, view in [("TransactionsRaw", "raw_transactions"), ("ReferralRaw", "raw_referrals"),
-                        ("DenialData", "denial_data"), ("PayerCrosswalk", "payer_crosswalk"),
-                        ("ActiveInsurance", "active_insurance"), ("PatientDOB", "patient_dob"),
-                        ("AtRisk", "at_risk"), ("ResearchPatient", "research_patient"),
-                        ("Fractions", "fractions"), ("ICD_Crosswalk", "icd_crosswalk")]:
-        write(conform(spark_view(spark, sf, view), RAW[table]), ingest.raw_path(base, table), "replace")
+_LOADED = {
+    "TransactionsRaw": "raw_transactions", "ReferralRaw": "raw_referrals", "DenialData": "denial_data",
+    "PayerCrosswalk": "payer_crosswalk", "ActiveInsurance": "active_insurance", "PatientDOB": "patient_dob",
+    "AtRisk": "at_risk", "ResearchPatient": "research_patient", "Fractions": "fractions", "ICD_Crosswalk": "icd_crosswalk"}
+
+
+def _load(spark, base, table, df) -> None:
+    ingest.commit_load(spark, base, table, ingest.loads(spark, base, table), conform(df, RAW[table]), False)
+
+
+def _load_rules(spark, sf, base) -> None:
     for rules in ("id_exclusions", "id_corrections"):
         write(spark_view(spark, sf, rules), f"{base}/rules/{rules}", "replace")
-    refresh(spark, base, AS_OF, stages=["clean", "episodes", "enrich", "marts"], labels=False)
-    return spark.read.parquet(f"{base}/marts/RCB_Billing").select(
+
+
+def _billing(spark, base) -> DataFrame:
+    """The billing table without its generated key."""
+    return read_mart(spark, base, "RCB_Billing").select(
         "patient_number", "dos", "insurance_name", "insurance_abv", "units", "charges",
         "total_payments", "remaining_balance")
 
 
+def refreshed(spark, sf):
+    """Loaded raw tables through all stages."""
+    base = scratch_dir(spark)
+    for table, view in _LOADED.items():
+        _load(spark, base, table, spark_view(spark, sf, view))
+    _load_rules(spark, sf, base)
+    refresh(spark, base, AS_OF, labels=False)
+    return _billing(spark, base)
+
+
+def refreshed_by_changes(spark, sf):
+    """The same rows in two loads of transactions, the second with some patients' rows, and a refresh after each."""
+    base = scratch_dir(spark)
+    late = F.pmod(F.xxhash64("patient_number"), F.lit(97)) == 0
+    for table, view in _LOADED.items():
+        df = spark_view(spark, sf, view)
+        _load(spark, base, table, df.where(~late) if table == "TransactionsRaw" else df)
+    _load_rules(spark, sf, base)
+    refresh(spark, base, AS_OF, labels=False)
+    _load(spark, base, "TransactionsRaw", spark_view(spark, sf, "raw_transactions").where(late))
+    refresh(spark, base, AS_OF, labels=False)
+    return _billing(spark, base)
+
+
 QUERIES: dict[str, Query] = {
     # sources and sinks
     "scan_folder": scan,
@@ -492,4 +527,5 @@ QUERIES: dict[str, Query] = {
     "enrich_referrals": enrich_referrals,
     "enrich_transactions": enrich_transactions,
     "refresh": refreshed,
+    "refresh_changes": refreshed_by_changes,
 }

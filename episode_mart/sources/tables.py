@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from episode_mart.schemas import label_of, width_of
+from episode_mart.sources.versions import Snapshot, commit, snapshot, write_part
 
 # Legacy names of replacing.
-_REPLACE = {"replace", "delete", "truncate"}
+REPLACE = {"replace", "delete", "truncate"}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -29,42 +30,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def _files(spark: SparkSession, path: str):
-    """Hadoop file system of a path, and its Path class."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
-    return jvm_path(path).getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
+def write(df: DataFrame, path: str, mode: str = "append") -> Snapshot:
+    """Append to, or replace, the versioned table at ``path``; read it with ``versions.read_table``.
 
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, jvm_path = _files(spark, path)
-    return fs.exists(jvm_path(path))
-
-
-def write(df: DataFrame, path: str, mode: str = "append", partition_by: tuple[str, ...] = ()) -> None:
-    """Append to, or replace, the table at ``path``.
-
-    Replacing writes next to the table and swaps when the write has succeeded, so a failed job
-    leaves the old table in place.
+    The rows are visible once the version is committed: a failed job leaves the version before.
     """
-    if mode == "append":
-        df.write.mode("append").partitionBy(*partition_by).parquet(path)
-        return
-    if mode not in _REPLACE:
+    if mode != "append" and mode not in REPLACE:
         raise ValueError(f"unknown write mode {mode!r}")
-    spark = df.sparkSession
-    fs, jvm_path = _files(spark, path)
-    target = jvm_path(path)
-    staged = jvm_path(f"{path.rstrip('/')}__staged")
-    previous = jvm_path(f"{path.rstrip('/')}__previous")
-    if fs.exists(previous) and not fs.exists(target):  # an earlier swap was cut short
-        fs.rename(previous, target)
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(staged.toString())
-    fs.delete(previous, True)
-    if fs.exists(target) and not fs.rename(target, previous):
-        raise OSError(f"cannot set aside {path}")
-    if not fs.rename(staged, target):
-        raise OSError(f"cannot move {staged.toString()} to {path}")
-    fs.delete(previous, True)
+    seen = snapshot(df.sparkSession, path)
+    part = write_part(df, path)
+    return commit(df.sparkSession, path, seen, {**(seen.parts if mode == "append" else {}), part: part})
 
 
 def _narrowed(field: T.StructField) -> Column:
@@ -76,14 +51,14 @@ def _narrowed(field: T.StructField) -> Column:
     return F.when(F.length(c) > width, F.raise_error(message)).otherwise(c)
 
 
-def publish(df: DataFrame, schema: T.StructType, labels: bool = False) -> DataFrame:
+def publish(df: DataFrame, schema: T.StructType, labels: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns of the schema, cast; a text over its width raises.
 
-    ``labels`` names the columns by their reporting headers instead of the engine's names.
+    ``labels`` names the columns by their reporting headers instead of the engine's names; ``keep`` rides along.
     """
     return df.select(*[
         _narrowed(f).alias(label_of(f) if labels else f.name, metadata=f.metadata) for f in schema
-    ])
+    ], *keep)
 
 
 def list_tables(spark: SparkSession) -> DataFrame:
