@@ -257,6 +257,10 @@ _ASSIGNED = """from tx left join ep on tx.pid = ep.patient_id
 _SELECTS = {
     "scan_folder": "select count(*) as lines, 4 as files from raw_transactions",
     "csv_round_trip": _EXPORTED,
+    "csv_line_breaks": _EXPORTED.replace("patient_full_name,", "replace(patient_full_name, ', ', ',' || chr(10)) as patient_full_name,"),
+    "coercion_losses": _union([
+        f"select '{column}' as column_name, count(*) as lost from texts where l_linenumber in ({lines})"
+        for column, lines in [("voucher", "3, 5, 6"), ("charges", "3, 5"), ("npi", "3, 5"), ("from_dos", "5, 6")]]),
     "ingest_all": f"""
 select 'TransactionsRaw' as table_name, patient_number as patient, from_dos as day, charges from raw_transactions
 union all

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from episode_mart.plans import clean, enrich, ingest, marts
 from episode_mart.plans.refresh import read_mart, refresh
 from episode_mart.schemas import RAW
 from episode_mart.sources import versions
-from episode_mart.sources.files import read_csv, scan_folder
+from episode_mart.sources.files import read_csv, read_files, scan_folder
 from episode_mart.sources.tables import scratch_dir, table_schema, write
 
 AS_OF = datetime.date(2026, 1, 1)
@@ -102,6 +102,27 @@ def csv_round_trip(spark, sf):
     return align(df, RAW["TransactionsRaw"]).select(_EXPORTED)
 
 
+def csv_line_breaks(spark, sf):
+    """As ``csv_round_trip``, with names over two lines: quoted values that hold line breaks."""
+    folder = scratch_dir(spark)
+    export = _export(spark, sf)
+    name = "Patient Full-Name"
+    _write_csv(export.withColumn(name, F.replace(F.col(f"`{name}`"), F.lit(", "), F.lit(",\n"))), folder)
+    files = read_files(spark, [r.path for r in scan_folder(spark, folder, ["*.csv"]).collect()])
+    frames = [align(df, RAW["TransactionsRaw"]).select(_EXPORTED) for df in files.frames]
+    return reduce(DataFrame.unionByName, frames)
+
+
+def coercion_losses(spark, sf):
+    """Texts of a loaded folder that became null, by column."""
+    base = scratch_dir(spark)
+    _write_csv(spark_view(spark, sf, "texts").select(
+        F.col("l_orderkey").cast("string").alias("PatientNumber"), F.col("int_text").alias("Voucher"),
+        F.col("number_text").alias("Charges"), F.col("number_text").alias("NPI"), F.col("date_text").alias("FromDOS")), f"{base}/in")
+    ingest.load_table(spark, {"folder": f"{base}/in", "target_table": "TransactionsRaw", "file_patterns": ["*.csv"]}, base)
+    return ingest.lost_values(spark, base, "TransactionsRaw")
+
+
 def ingest_all(spark, sf):
     base = scratch_dir(spark)
     _write_csv(_export(spark, sf), f"{base}/inbound/TransactionsRaw")
@@ -450,6 +471,8 @@ QUERIES: dict[str, Query] = {
     # sources and sinks
     "scan_folder": scan,
     "csv_round_trip": csv_round_trip,
+    "csv_line_breaks": csv_line_breaks,
+    "coercion_losses": coercion_losses,
     "ingest_all": ingest_all,
     "sink_append": partial(sink, mode="append"),
     "sink_replace": partial(sink, mode="replace"),

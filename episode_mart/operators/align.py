@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from episode_mart.functions.coerce import coerce
+from episode_mart.functions.coerce import coerce, coercion_of
 from episode_mart.operators.profile import column_profiles
 from episode_mart.schemas import RAW, label_of, raw_schema, table_name
 
@@ -47,10 +47,12 @@ def match_headers(actual: list[str], expected: list[str],
     return matches
 
 
-def align(df: DataFrame, schema: T.StructType, threshold: float = LOAD_THRESHOLD) -> DataFrame:
+def align(df: DataFrame, schema: T.StructType, threshold: float = LOAD_THRESHOLD,
+          lost: Observation | None = None) -> DataFrame:
     """Text columns of a file as the typed columns of the target, in the target's order.
 
-    Missing columns become typed nulls, unexpected ones are not selected.
+    Missing columns become typed nulls, unexpected ones are not selected. ``lost`` counts, per typed column, the
+    texts that became null because they do not parse, in the job that writes the rows.
     """
     matches = match_headers(df.columns, [label_of(f) for f in schema], threshold)
 
@@ -60,7 +62,14 @@ def align(df: DataFrame, schema: T.StructType, threshold: float = LOAD_THRESHOLD
             return F.lit(None).cast(field.dataType).alias(field.name)
         return coerce(quoted(match[0]), field).alias(field.name)
 
-    return df.select(*[column(f) for f in schema])
+    columns = [column(f) for f in schema]
+    if lost is None:
+        return df.select(*columns)
+    typed = [f for f in schema if label_of(f) in matches and coercion_of(f.dataType) != "str"]
+    texts = {f.name: f"_text_{i}" for i, f in enumerate(typed)}
+    both = df.select(*columns, *[quoted(matches[label_of(f)][0]).alias(texts[f.name]) for f in typed])
+    counts = [F.count_if(F.col(t).isNotNull() & F.col(name).isNull()).alias(name) for name, t in texts.items()]
+    return both.observe(lost, F.count(F.lit(1)).alias("_rows"), *counts).select(*schema.names)
 
 
 def conform(df: DataFrame, schema: T.StructType, keep: tuple[str, ...] = ()) -> DataFrame:
