@@ -8,7 +8,9 @@ another state less one arc, and a target per token. Its transition table is fill
 
 Pre-split words are encoded by walking the automaton along the word's bytes, longest arc first; the
 accepted path is unique, so a place from which the word cannot be finished is left for good. Decoding
-emits the labels of the arcs, which are the tokens' bytes. The path of the vocabulary file is a
+emits the labels of the arcs, which are the tokens' bytes. Texts are taken together up to ``CHUNK`` characters: their
+words are numbered, each different word is walked (or looked up) once, and its tokens and labels are gathered for all
+its places in Arrow. Walked words are remembered in two generations, so frequent ones stay. The path of the vocabulary file is a
 parameter; the driver reads it and sends the compiled automaton (its size is the vocabulary's) to the tasks.
 
 Defined cases: null and empty texts have no tokens and decode to the empty text. Special tokens of the
@@ -18,9 +20,12 @@ file are recognised in texts. Repeated rows get equal results. Columns named lik
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +35,10 @@ from episode_mart.llm.common import map_batches
 
 # Fixed value: the pre-splitting pattern of byte-level vocabularies.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED = 300_000
+CACHED = 200_000
 TABLED = 1_000_000
+CHUNK = 2_000_000
+PREFIX = 5
 
 
 def byte_letters() -> dict[str, int]:
@@ -56,8 +63,13 @@ class TokenAutomaton:
         for time, (u, v) in enumerate(merges):
             self._gadget(time, vocabulary[u], vocabulary[v], vocabulary[u + v])
         self.tokens = {self.labels[t]: t for t in self.target}
-        self.longest = max(map(len, self.tokens), default=0)
+        # longest token by its first PREFIX bytes; where they begin none, tokens are shorter
+        self.reach: dict[bytes, int] = {}
+        for b in self.tokens:
+            if len(b) >= PREFIX:
+                self.reach[b[:PREFIX]] = max(self.reach.get(b[:PREFIX], 0), len(b))
         self.labels.update({t: s.encode() for s, t in special.items()})
+        self._index()
         self._start()
 
     def _gadget(self, time: int, u: int, v: int, uv: int) -> None:
@@ -84,15 +96,52 @@ class TokenAutomaton:
             state = self.parent[state]
         return True
 
+    def _index(self) -> None:
+        """Number the tree of states so that a state's descendants are a range, and list by arc who lacks it.
+
+        No two states on a way to the root lack the same arc, so the ranges of one arc are disjoint.
+        """
+        n = len(self.parent)
+        size = [1] * n
+        for state in range(n - 1, 0, -1):  # parents come before children
+            size[self.parent[state]] += size[state]
+        self.first, free = [0] * n, [1] * n
+        for state in range(1, n):
+            above = self.parent[state]
+            self.first[state] = self.first[above] + free[above]
+            free[above] += size[state]
+        self.lacking: dict[int, tuple[list[int], list[int], list[int]]] = {}
+        for state in sorted(range(1, n), key=self.first.__getitem__):
+            begins, ends, since = self.lacking.setdefault(self.lacks[state], ([], [], []))
+            begins.append(self.first[state])
+            ends.append(self.first[state] + size[state])
+            since.append(self.since[state])
+
+    def _arc(self, state: int, token: int) -> bool:
+        """``_has_arc`` of the finished automaton, by the numbering."""
+        at, before = self.first[state], len(self.parent) + len(self.target)
+        while True:
+            found = self.lacking.get(token)
+            if found is not None:
+                i = bisect_right(found[0], at) - 1
+                if i >= 0 and at < found[1][i] and found[2][i] <= before:
+                    return False
+            if token not in self.left:
+                return True
+            made = self.made[token]
+            before = made if made < before else before
+            token = self.left[token]
+
     def _start(self) -> None:
         self.table: dict[tuple[int, int], bool] = {}
         self.words: dict[str, tuple[tuple[int, ...], bytes]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], bytes]] = {}
         self.split = regex.compile(PRE_SPLIT)
         names = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("|".join(map(regex.escape, names))) if names else None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("table", "words", "split", "specials")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("table", "words", "older", "split", "specials")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -104,15 +153,19 @@ class TokenAutomaton:
         if found is None:
             if len(self.table) >= TABLED:
                 self.table.clear()
-            found = self.table[key] = self._has_arc(*key)
+            found = self.table[key] = self._arc(*key)
         return found
 
     def path(self, word: bytes) -> list[int]:
         """The accepted path that spells ``word``."""
-        n, tokens, longest = len(word), self.tokens, self.longest
+        tokens, reach = self.tokens, self.reach
+        whole = tokens.get(word)
+        if whole is not None:  # the longest arc of all
+            return [whole]
+        n = len(word)
         dead = bytearray(n + 1)
         path: list[int] = []
-        at, end = 0, min(n, longest)
+        at, end = 0, min(n, reach.get(word[:PREFIX], PREFIX - 1))
         while at < n:
             token = None
             while end > at:
@@ -123,7 +176,7 @@ class TokenAutomaton:
                 end -= 1
             if token is not None:
                 path.append(token)
-                at, end = end, min(n, end + longest)
+                at, end = end, min(n, end + reach.get(word[end:end + PREFIX], PREFIX - 1))
             elif path:
                 dead[at] = 1
                 end = at - 1
@@ -132,16 +185,21 @@ class TokenAutomaton:
                 raise ValueError(f"no path spells {word!r}")
         return path
 
-    def _word(self, word: str) -> tuple[tuple[int, ...], bytes]:
-        if len(self.words) >= CACHED:
-            self.words.clear()
-        path = tuple(self.path(word.encode()))
-        found = self.words[word] = path, b"".join([self.labels[t] for t in path])
+    def word(self, word: str) -> tuple[tuple[int, ...], bytes]:
+        """Tokens of a pre-split word, and their labels."""
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) >= CACHED:
+                self.words, self.older = {}, self.words
+            found = self.older.get(word)
+            if found is None:
+                path = tuple(self.path(word.encode()))
+                found = path, b"".join([self.labels[t] for t in path])
+            self.words[word] = found
         return found
 
     def _plain(self, text: str) -> list[tuple[tuple[int, ...], bytes]]:
-        get, word = self.words.get, self._word
-        return [get(w) or word(w) for w in self.split.findall(text)]
+        return [self.word(w) for w in self.split.findall(text)]
 
     def pieces(self, text: str) -> list[tuple[tuple[int, ...], bytes]]:
         """(tokens, their labels) of every pre-split word and special token."""
@@ -154,6 +212,31 @@ class TokenAutomaton:
             at = m.end()
         return out + self._plain(text[at:])
 
+    def together(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]:
+        """Tokens and labels (bytes) of all texts, each with the end of every text's part."""
+        words, ends, own = [], np.zeros(len(texts), "int64"), []
+        for i, text in enumerate(texts):
+            if self.specials is not None and self.specials.search(text):
+                pieces = self.pieces(text)
+                own += pieces
+                words += [None] * len(pieces)
+            else:
+                words += self.split.findall(text)
+            ends[i] = len(words)
+        numbered = pa.array(words, pa.string()).dictionary_encode()
+        known = [self.word(w) for w in numbered.dictionary.to_pylist()]
+        at = np.asarray(numbered.indices.fill_null(-1)).copy()
+        at[at < 0] = np.arange(len(known), len(known) + len(own))  # pieces with special tokens stand for themselves
+        known += own
+        del words, numbered
+        tokens = np.fromiter(chain.from_iterable([k[0] for k in known]), "int32")
+        lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(k[0]) for k in known], dtype="int64")].astype("int32"), tokens)
+        labels = pa.array([k[1] for k in known], pa.large_binary())
+        lists, labels = lists.take(pa.array(at)), labels.take(pa.array(at))
+        by_word = [np.r_[0, np.cumsum(np.asarray(f(x)), dtype="int64")] for f, x in (
+            (pc.list_value_length, lists), (pc.binary_length, labels))]
+        return lists.flatten(), by_word[0][ends], labels, by_word[1][ends]
+
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable([p[0] for p in self.pieces(text)]))
 
@@ -193,6 +276,16 @@ def _shared(spark: SparkSession, path: str):
     return _SHARED[key]
 
 
+def _texts_of(labels: pa.Array, ends: np.ndarray) -> pa.Array:
+    """The labels up to each end, joined, as text; bytes that are no UTF-8 are replaced."""
+    joined = labels.buffers()[2] or pa.py_buffer(b"")  # gathered one behind the other
+    parts = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.r_[0, ends].astype("int64")), joined])
+    try:
+        return parts.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([b.decode(errors="replace") for b in parts.to_pylist()], pa.string())
+
+
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array of int) and ``decoded``, the text that the ids decode to."""
     new = ("ids", "decoded")
@@ -205,13 +298,16 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches):
         automaton = shared.value
         for batch in batches:
-            offsets, ids, decoded = [0], [], []
-            for body in batch.column(at).to_pylist():
-                pieces = automaton.pieces(body or "")
-                ids.extend(chain.from_iterable([p[0] for p in pieces]))
-                offsets.append(len(ids))
-                decoded.append(b"".join([p[1] for p in pieces]).decode(errors="replace"))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(decoded, pa.string())], names)
+            texts = [body or "" for body in batch.column(at).to_pylist()]
+            lengths = np.cumsum([len(t) for t in texts])
+            begin = 0
+            while begin < len(texts):
+                done = lengths[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(lengths, done + CHUNK, "right")))
+                ids, id_ends, labels, label_ends = automaton.together(texts[begin:end])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, id_ends], pa.int32()), ids)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.slice(begin, end - begin).columns, lists, _texts_of(labels, label_ends)], names)
+                begin = end
 
     return map_batches(kept, run, schema)
