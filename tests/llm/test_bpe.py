@@ -1,6 +1,9 @@
 """The automaton against the public library, on documents and on generated texts."""
 
 import hashlib
+import random
+import time
+from functools import cache
 
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -19,9 +22,12 @@ LIBRARY.no_truncation()
 LIBRARY.no_padding()
 
 
+compiled = cache(bpe.compile_file)
+
+
 @pytest.fixture(scope="module")
 def automaton():
-    return bpe.compile_file(PATH)
+    return compiled(PATH)
 
 
 def test_a_small_automaton_by_hand():
@@ -59,7 +65,7 @@ def test_odd_texts(automaton, text):
 @settings(max_examples=400, deadline=None)
 @given(st.one_of(st.text(max_size=60), st.text("abehinorstu '", max_size=80), st.text("aé ñ.\n", max_size=60)))
 def test_any_text(text):
-    made = test_any_text.__dict__.setdefault("made", bpe.compile_file(PATH))
+    made = compiled(PATH)
     ids = LIBRARY.encode(text, add_special_tokens=False).ids
     assert made.encode(text) == ids
     assert made.decode(ids) == text
@@ -70,3 +76,31 @@ def test_rows_without_text(spark, frame):
     got = bpe.encode(frame(rows, "doc_id long, text string, ids string"), PATH).collect()
     assert [(r["ids"], r["decoded"]) for r in got] == [([], ""), ([], ""), ([64, 275], "a b"), ([], "")]
     assert bpe.encode(frame([]), PATH).count() == 0
+
+
+def test_texts_together_equal_texts_alone(automaton, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED", 3)  # remembered words change generations all the time
+    texts = [*ODD, "", "the cat", "the cat<|endoftext|>the cat"]
+    ids, id_ends, labels, label_ends = automaton.together(texts)
+    ids, decoded = ids.to_pylist(), bpe._texts_of(labels, label_ends).to_pylist()
+    for i, text in enumerate(texts):
+        own = LIBRARY.encode(text, add_special_tokens=False).ids
+        assert ids[id_ends[i - 1] if i else 0:id_ends[i]] == own and decoded[i] == LIBRARY.decode(own, skip_special_tokens=False)
+    ids, id_ends, labels, label_ends = automaton.together(["", ""])
+    assert len(ids) == 0 and id_ends.tolist() == [0, 0] and bpe._texts_of(labels, label_ends).to_pylist() == ["", ""]
+
+
+def test_a_very_long_word_takes_little_time(automaton):
+    for word in ("a" * 200_000, "abc" * 70_000, "étàâ" * 50_000):
+        begun = time.perf_counter()
+        ids = automaton.encode(word)
+        assert time.perf_counter() - begun < 10
+        assert ids == LIBRARY.encode(word, add_special_tokens=False).ids
+
+
+def test_every_arc_by_its_number(automaton):
+    r = random.Random(0)
+    tokens = list(automaton.target)
+    for _ in range(5_000):
+        u, v = r.choice(tokens), r.choice(tokens)
+        assert automaton._arc(automaton.target[u], v) == automaton._has_arc(automaton.target[u], v)
