@@ -257,6 +257,12 @@ _ASSIGNED = """from tx left join ep on tx.pid = ep.patient_id
 _SELECTS = {
     "scan_folder": "select count(*) as lines, 4 as files from raw_transactions",
     "csv_round_trip": _EXPORTED,
+    "catalog_tables": _union([
+        f"select 'raw' as layer, '{table}' as table_name, {3 if table == 'AtRisk' else 1} as version, 1 as loads, count(*) as rows from {view}"
+        for table, view in [
+            ("TransactionsRaw", "raw_transactions"), ("ReferralRaw", "raw_referrals"), ("DenialData", "denial_data"),
+            ("PayerCrosswalk", "payer_crosswalk"), ("ActiveInsurance", "active_insurance"), ("PatientDOB", "patient_dob"),
+            ("AtRisk", "at_risk"), ("ResearchPatient", "research_patient"), ("Fractions", "fractions"), ("ICD_Crosswalk", "icd_crosswalk")]]),
     "csv_line_breaks": _EXPORTED.replace("patient_full_name,", "replace(patient_full_name, ', ', ',' || chr(10)) as patient_full_name,"),
     "coercion_losses": _union([
         f"select '{column}' as column_name, count(*) as lost from texts where l_linenumber in ({lines})"

@@ -18,7 +18,7 @@ from episode_mart.operators.align import align, conform, validate
 from episode_mart.operators.keys import with_key
 from episode_mart.operators.profile import column_profiles, sample_head
 from episode_mart.operators.rules import correct_ids, exclude_ids
-from episode_mart.plans import clean, enrich, ingest, marts
+from episode_mart.plans import catalog, clean, enrich, ingest, marts
 from episode_mart.plans.refresh import read_mart, refresh
 from episode_mart.schemas import RAW
 from episode_mart.sources import versions
@@ -201,6 +201,18 @@ def catalog_schema(spark, sf):
         column_profiles(spark.table("episode_mart_lineitem")).select("column_name", "rows", "nulls"), "column_name")
 
 
+def catalog_tables(spark, sf):
+    """The engine's own tables after some loads, one of them in two parts that are compacted."""
+    base = scratch_dir(spark)
+    for table, view in _LOADED.items():
+        df = spark_view(spark, sf, view)
+        odd = F.pmod(F.xxhash64(*df.columns), F.lit(2)) == 1
+        for part in ([df.where(odd), df.where(~odd)] if table == "AtRisk" else [df]):
+            _load(spark, base, table, part)
+    ingest.compact(spark, base, "AtRisk")
+    return catalog.list_tables(spark, base, rows=True).select("layer", "table_name", "version", "loads", "rows")
+
+
 # --- alignment, coercion, profile ---------------------------------------------
 
 def _aligned(spark, sf) -> DataFrame:
@@ -480,6 +492,7 @@ QUERIES: dict[str, Query] = {
     "route_by_name": route_by_name,
     "surrogate_key": surrogate_key,
     "catalog_schema": catalog_schema,
+    "catalog_tables": catalog_tables,
     # alignment, coercion, profile
     "align_exact": align_exact,
     "align_fuzzy": align_fuzzy,
