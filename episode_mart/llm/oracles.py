@@ -62,7 +62,7 @@ p as (
   select anchor_id, id as positive_id, score as positive_score from scored where own
   qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
 select p.anchor_id, positive_id, positive_score, s.id as negative_id, s.score as negative_score,
-  row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.id) as rank
+  row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.id)::int as rank
 from p join scored s on s.anchor_id = p.anchor_id and not s.own
   and 80 * positive_score <= 100 * s.score and 100 * s.score <= 100 * positive_score
 qualify rank <= 5""",
