@@ -6,11 +6,13 @@ here is by hash, with shingles of very many prefixes last. Nodes that share such
 
 1. The first node of each tile is compared with the others. Of the pairs that may link, every node's
    likeliest is verified, which makes most of every group one component.
-2. What a tile then holds of different components is cut into blocks of bounded size, and blocks are
-   compared with each other. Of the pairs that may link, a spanning forest is verified.
-3. Blocks are compared once more, and all pairs of different components that may still link are verified.
+2. What a tile then holds of different components is compared with each other. Of the pairs that may link,
+   a spanning forest is verified.
+3. This is done once more, and all pairs of different components that may still link are verified.
 
-Sizes are banded first: only |A| >= t |B| can link.
+Only |A| >= t |B| can link. A tile of more than BLOCK nodes is cut into bands of sizes, each as wide as this
+ratio, and bands into blocks: a block meets the blocks of its own band and of the two bands beside it, no
+others. Within tiles and blocks nodes are sorted by size, and each meets only those that are near enough.
 
 A pair is compared by parity bitmaps of hashed shingles: common shingles cancel out, so the bit count of
 their difference bounds the overlap from above. Pairs that pass are verified exactly by intersecting the
@@ -27,6 +29,8 @@ rows are copies. Shingles are 64-bit hashes.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,9 +43,10 @@ from episode_mart.llm.graphs import components
 WORDS = 3
 PERCENT = 90
 BITS = 2048
-BLOCK = 256
+BLOCK = 2048
 HEAVY = 10_000
-COMPARED = 400_000
+COMPARED = 200_000
+FIRST = 4  # 64-bit words of the bitmaps that are compared before the others
 BUCKETS = 1 << 20
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -127,10 +132,10 @@ def _may_link(percent: int, na: Column, nb: Column, differing: Column | None = N
 
 def _stars(tiles: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a tile's first node and another that pass sizes and bitmaps, with the share that differs."""
-    pairs = tiles.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    with_bits = (pairs.join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
-                 .join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
-                 .where(_may_link(percent, F.col("na"), F.col("nb"))))
+    pairs = tiles.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
+    near = (pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
+            .where(_may_link(percent, F.col("na"), F.col("nb"))))
+    with_bits = near.join(nodes.select(F.col("node").alias("b"), F.col("bits").alias("bb")), "b")
     differing = sum(F.bit_count(F.get("ba", F.lit(i)).bitwiseXOR(F.get("bb", F.lit(i)))) for i in range(BITS // 64))
     return with_bits.withColumn("d", differing).where(_may_link(percent, F.col("na"), F.col("nb"), F.col("d"))).select(
         "a", "b", (F.col("d") / (F.col("na") + F.col("nb"))).alias("score"))
@@ -176,12 +181,34 @@ def _parted(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, node, root, blocks) of the tiles that hold nodes of several components."""
-    rooted = members.select("key", "node").join(found, "node", "left").select(
-        "key", "node", F.coalesce("root", "node").alias("root"))
+    """(key, node, n, root, m) of the tiles that hold nodes of several components, m in all."""
+    rooted = members.select("key", "node", "n").join(found, "node", "left").select(
+        "key", "node", "n", F.coalesce("root", "node").alias("root"))
     tiles = rooted.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    tiles = tiles.where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    return rooted.join(tiles, "key")
+    return rooted.join(tiles.where("lo <> hi").select("key", "m"), "key")
+
+
+def _blocks(mixed: DataFrame, percent: int) -> DataFrame:
+    """``mixed`` with the node's block ``own`` and the blocks ``others`` that it meets, itself included.
+
+    A block's number is that of its band times 2^20, plus its number in the band. A small tile is one block.
+    """
+    # a little wider than the ratio, so that rounding puts no pair two bands apart
+    width = 1.001 * max(math.log(100 / percent), 1e-9)
+    banded = mixed.withColumn("band", F.floor(F.ln("n") / width))
+    of_band = banded.where(F.col("m") > BLOCK).groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    bands = of_band.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("bands"))
+
+    def numbers(band: Column) -> Column:
+        return F.coalesce(F.transform(F.sequence(F.lit(1).cast("long"), F.try_element_at("bands", band)),
+                                      lambda k: band * (1 << 20) + k), F.array().cast("array<long>"))
+
+    band, large = F.col("band"), F.col("bands").isNotNull()
+    own = band * (1 << 20) + 1 + F.pmod(F.xxhash64("node"), F.try_element_at("bands", band))
+    return banded.join(bands, "key", "left").select(
+        "key", "node", "n", "root", F.when(large, own).otherwise(0).alias("own"),
+        F.when(large, F.concat(numbers(band - 1), numbers(band), numbers(band + 1))).otherwise(
+            F.array(F.lit(0).cast("long"))).alias("others"))
 
 
 def _crossing(mixed: DataFrame, nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
@@ -189,29 +216,29 @@ def _crossing(mixed: DataFrame, nodes: DataFrame, percent: int, forest: bool) ->
 
     ``forest``: of each two blocks only as many as connect all components that these pairs connect.
     """
-    members = mixed.join(nodes.select("node", "n", "bits"), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = members.select("key", "node", "n", "root", "bits", own.alias("own"), F.explode(
-        F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    members = _blocks(mixed, percent).join(nodes.select("node", "bits"), "node")
+    dealt = members.select("key", "node", "n", "root", "bits", "own", F.explode("others").alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own",
                          "node", "n", "root", "bits")
-    sorted_tiles = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    sorted_tiles = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n")
 
-    def pairs_of(rows: dict[str, np.ndarray], ends: np.ndarray):
-        """Of rows whose groups end at ``ends`` (by row): indices of passing pairs, and their scores."""
-        at = np.arange(len(ends))
-        after = ends - at - 1  # rows of the group behind each row
+    def pairs_of(rows: dict[str, np.ndarray], group: np.ndarray):
+        """Indices of passing pairs of one group, and their scores; rows are sorted by group and size."""
+        n, at = rows["n"], np.arange(len(group))
+        order = group * (1 << 40) + n
+        after = np.searchsorted(order, group * (1 << 40) + 100 * n // percent, "right") - at - 1
         for begin, stop in _runs(after):
             i = np.repeat(at[begin:stop], after[begin:stop])
             j = np.arange(len(i)) - np.repeat(np.cumsum(after[begin:stop]) - after[begin:stop], after[begin:stop]) + i + 1
-            n, root, block, lo, hi = (rows[c] for c in ("n", "root", "own", "lo", "hi"))
+            root, block, lo, hi, bits = (rows[c] for c in ("root", "own", "lo", "hi", "bits"))
             near = (root[i] != root[j]) & ((lo[i] == hi[i]) | (block[i] != block[j]))
-            near &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
             i, j = i[near], j[near]
-            differing = np.bitwise_count(rows["bits"][i] ^ rows["bits"][j]).sum(axis=1)
-            sizes = n[i] + n[j]
-            good = (100 + percent) * (sizes - differing) >= 2 * percent * sizes
-            yield i[good], j[good], differing[good] / sizes[good]
+            differing, sizes = np.zeros(len(i), np.int64), n[i] + n[j]
+            for part in (slice(0, FIRST), slice(FIRST, None)):
+                differing = differing + np.bitwise_count(bits[i, part] ^ bits[j, part]).sum(axis=1)
+                good = (100 + percent) * (sizes - differing) >= 2 * percent * sizes
+                i, j, differing, sizes = i[good], j[good], differing[good], sizes[good]
+            yield i, j, differing / sizes
 
     def compared(table: pa.Table):
         if len(table) < 2:
@@ -223,8 +250,7 @@ def _crossing(mixed: DataFrame, nodes: DataFrame, percent: int, forest: bool) ->
         for c in ("key", "lo", "hi"):
             new[1:] |= rows[c][1:] != rows[c][:-1]
         group = np.cumsum(new)
-        ends = np.append(np.flatnonzero(new), len(table))[group]
-        found = list(pairs_of(rows, ends))
+        found = list(pairs_of(rows, group))
         i, j, score = (np.concatenate(p) for p in zip(*found, strict=True))
         if forest and len(i):
             label = np.unique(np.stack([group, rows["root"]]), axis=1, return_inverse=True)[1].ravel()
@@ -351,7 +377,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words:
         rows = keep(signatures(docs, id_column, text, words, percent, late))
         alone = _nodes(rows, scratch)
         shared = scratch.keep(_shared(alone))
-    keyed = alone.select(F.explode("prefix").alias("key"), "node")
+    keyed = alone.select(F.explode("prefix").alias("key"), "node", "n")
     tiles = scratch.keep(keyed.join(shared.select("key", "first"), "key"))
     nodes = scratch.keep(alone.select("node", "n", "row", "bits"))
     source, stars = _Texts(docs, id_column, text, scratch), scratch.keep(_stars(tiles, nodes, percent))

@@ -96,6 +96,26 @@ def test_made_families(spark, monkeypatch, seed, words, percent, heavy, block):
     assert none_first(map(tuple, got.collect())) == none_first(brute(rows, words, percent))
 
 
+def test_large_tiles_are_cut_by_size(spark, monkeypatch):
+    """One shingle in all texts, in sizes from 20 to 400 words: bands and blocks miss no pair and meet no far one."""
+    monkeypatch.setattr(neardup, "BLOCK", 6)
+    mixed = spark.createDataFrame([(1, i, n, i, 200) for i, n in enumerate(range(20, 420, 2))]
+                                  + [(2, i, 50, i, 4) for i in range(4)], "key long, node long, n long, root long, m long")
+    for percent in (50, 80, 90, 99, 100):
+        rows = neardup._blocks(mixed, percent).collect()
+        small = [r for r in rows if r["key"] == 2]
+        assert len(small) == 4 and all(r["own"] == 0 and r["others"] == [0] for r in small)
+        large = [r for r in rows if r["key"] == 1]
+        for x in large:
+            assert x["own"] in x["others"] and len(set(x["others"])) == len(x["others"])
+            for y in large:
+                near = 100 * min(x["n"], y["n"]) >= percent * max(x["n"], y["n"])
+                meets = y["own"] in x["others"]
+                assert meets == (x["own"] in y["others"]) and (meets or not near)
+                far = 100 ** 3 * min(x["n"], y["n"]) < percent ** 3 * max(x["n"], y["n"])
+                assert not (percent < 99 and far and meets)
+
+
 def test_empty_table(spark, frame):
     assert neardup.join(frame([])).count() == 0
 
