@@ -1,0 +1,71 @@
+"""Decontamination of changed copies, of short items and of scripts without spaces, against plain alignment."""
+
+import random
+
+import pytest
+
+from episode_mart.llm import contamination
+
+WORDS = [f"w{i}" for i in range(5000)]
+
+
+@pytest.fixture
+def found(spark):
+    def of(docs, items):
+        docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+        items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+        return {(r["doc_id"], r["item_id"]) for r in contamination.find(docs, items).collect()}
+    return of
+
+
+def text_of(rng, n):
+    return [rng.choice(WORDS) for _ in range(n)]
+
+
+def agrees(item, copy):
+    """Whether some 18 neighbouring words hold 13 that agree, copies being aligned."""
+    return any(sum(a == b for a, b in zip(item[i:i + 18], copy[i:i + 18], strict=True)) >= 13
+               for i in range(max(1, len(item) - 17)))
+
+
+def test_words_replaced_at_a_fixed_step(found):
+    rng = random.Random(1)
+    items = [text_of(rng, 60) for _ in range(12)]
+    docs, expected = [], set()
+    for k, item in enumerate(items):
+        step = 4 + k % 6
+        for shift in range(step):
+            copy = [f"x{i}" if i % step == shift else w for i, w in enumerate(item)]
+            expected.add((len(docs), k))
+            docs.append(" ".join(text_of(rng, 20) + copy + text_of(rng, 20)))
+    assert found(docs, map(" ".join, items)) == expected
+
+
+def test_recall_of_words_replaced_at_random(found):
+    rng = random.Random(2)
+    items, docs, expected = [text_of(rng, 40) for _ in range(20)], [], set()
+    for k, item in enumerate(items):
+        for share in (0.05, 0.1, 0.15, 0.2, 0.25):
+            for _ in range(4):
+                copy = [w if rng.random() >= share else "changed" for w in item]
+                if agrees(item, copy):
+                    expected.add((len(docs), k))
+                docs.append(" ".join(text_of(rng, 30) + copy + text_of(rng, 30)))
+    got = found(docs, map(" ".join, items))
+    assert got <= expected
+    assert len(got) >= 0.9 * len(expected) and len(expected) > 300
+
+
+def test_short_items_must_occur_whole(found):
+    items = ["Name the capital of Burkina Faso", "yes", "option b", "photosynthesis", None, "", "one two three four five six seven"]
+    docs = ["Please name the capital of Burkina Faso now", "name the capital of Faso Burkina", "yes option b",
+            "what is photosynthesis", "one two three four five six seven", "one two three four five six eight",
+            "the capital of burkina faso", None, ""]
+    assert found(docs, items) == {(0, 0), (3, 3), (4, 6)}
+
+
+def test_scripts_without_spaces(found):
+    """15 letters in a row are found, 10 are fewer than the check asks."""
+    items = ["春眠不觉晓处处闻啼鸟夜来风雨声花落知多少", "กขคงจฉชซฌญฎฏฐ"]
+    docs = ["他说：春眠不觉晓，处处闻啼鸟。", "处处闻啼鸟夜来风雨声花落知多少啊", "夜来风雨声花落知多少", "abc กขคงจฉชซฌญฎฏฐ xyz"]
+    assert found(docs, items) == {(1, 0), (3, 1)}

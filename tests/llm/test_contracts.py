@@ -130,7 +130,7 @@ def test_op10_tells_labelled_quality(spark):
 
 
 def test_op7_finds_what_alignment_finds(spark, docs):
-    """Every aligned stretch of 18 words of which 15 agree holds a seed or is too broken to hold one."""
+    """Every run of 13 equal words is found, and all that is found agrees as the check asks."""
     items = {r["item_id"]: re.findall(r"[^\W_]+", (r["text"] or "").lower()) for r in rows("benchmark")}
     eights = defaultdict(set)
     for k, words in items.items():
