@@ -11,8 +11,9 @@ the sample shows, blocks are also moved into other containers of the same meanin
 deterministic.
 
 Defined cases: a null or empty page, or one without article blocks, gives the empty text and 0 characters;
-unclosed tags end where their container ends; raw elements that never close run to the end of the page.
-Repeated rows get equal results. Columns named like an output are replaced.
+unclosed tags end where their container ends; raw elements and comments that never close run to the end of the
+page; a ``<`` with no ``>`` behind it is text. Parsing takes time and memory in proportion to the page, whatever it
+holds, and blocks become vectors ``CHUNK`` at a time. Repeated rows get equal results. Columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,6 +38,7 @@ HIDDEN = 16
 LONGEST_TRAINED = 48
 BATCHES, BATCH = 260, 24
 SEED = 11
+CHUNK = 8192
 
 RAW = ("script", "style", "noscript", "template", "iframe", "svg", "title", "textarea")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -50,82 +54,178 @@ OTHER = ("nav", "footer", "aside", "form", "header", "menu", "sidebar", "ad", "a
          "newsletter", "subscribe", "related", "share", "social", "button", "select", "dialog", "head", "navigation",
          "complementary", "contentinfo", "search", "popup", "modal", "widget", "masthead", "toolbar", "copyright")
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<[!?/a-zA-Z][^>]*>"
-    r"|(?P<text>[^<]+|<)", re.DOTALL | re.IGNORECASE)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/<>]*)")
+_DELIMITER = re.compile(r"[>\"']")
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in RAW}
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _NAME = re.compile(r"[a-z]+")
 
 
+class Path:
+    """What is asked of a block's containers, carried from each container to those inside it."""
+
+    __slots__ = ("bits", "last", "article", "heading", "nearest", "beyond_header")
+
+    def __init__(self, names: tuple[str, ...] = (), outer: Path | None = None):
+        if outer is None:
+            self.bits, self.last, self.article, self.heading = 0, "", False, False
+            self.nearest = self.beyond_header = None
+        else:
+            for slot in self.__slots__:
+                setattr(self, slot, getattr(outer, slot))
+        for name in names:
+            self.bits |= 1 << _bucket(name) % PATHS
+            self.last = name
+            self.article |= name == "article"
+            self.heading |= name == "h1"
+            if name in OTHER:
+                self.nearest = 0
+                if name != "header":
+                    self.beyond_header = 0
+            elif name in ARTICLE:
+                self.nearest = self.beyond_header = 1
+
+    def meaning(self) -> int | None:
+        """1 in an article, 0 elsewhere, by the nearest container of a meaning; an article's own header has none."""
+        return self.beyond_header if self.article and self.heading else self.nearest
+
+
 class Block:
     __slots__ = ("path", "text", "linked")
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
+    def __init__(self, path: Path, text: str, linked: int):
         self.path, self.text, self.linked = path, text, linked
 
 
+class _Ends:
+    """Where tags end: the first ``>`` outside quotes, or -1.
+
+    Tags come in page order. The first delimiter behind a tag serves the tags before it too, and quotes that led
+    to no end are remembered, so that no part of the page is read again and again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.lost, self.known = page, set(), (0, -1)
+
+    def _next(self, at: int) -> int:
+        found = _DELIMITER.search(self.page, at)
+        return found.start() if found else len(self.page)
+
+    def of(self, at: int) -> int:
+        if not self.known[0] <= at <= self.known[1]:
+            self.known = at, self._next(at)
+        place, passed = self.known[1], []
+        while place < len(self.page) and place not in self.lost:
+            if self.page[place] == ">":
+                return place
+            passed.append(place)
+            closing = self.page.find(self.page[place], place + 1)
+            if closing < 0:
+                break
+            place = self._next(closing + 1)
+        self.lost.update(passed)
+        return -1
+
+
+def _tokens(page: str) -> Iterator[tuple[str | None, bool, str]]:
+    """(tag, whether it is an end tag, its attributes) and (null, false, text), in page order."""
+    at, last, ends = 0, page.rfind(">"), _Ends(page)
+    while at < len(page):
+        start = page.find("<", at)
+        if start < 0 or start > last:
+            comment = page.find("<!--", at)
+            yield None, False, page[at:] if comment < 0 else page[at:comment]
+            return
+        if start > at:
+            yield None, False, page[at:start]
+        if page.startswith("<!--", start):
+            closing = page.find("-->", start + 4)
+            if closing < 0:
+                return
+            at = closing + 3
+            continue
+        m = _TAG.match(page, start)
+        if m is None:
+            if page[start + 1:start + 2] in ("!", "?", "/"):
+                at = page.index(">", start) + 1
+            else:
+                yield None, False, "<"
+                at = start + 1
+            continue
+        tag, ending = m[1].lower(), page[start + 1] == "/"
+        if tag in _RAW_END and not ending:
+            closing = _RAW_END[tag].search(page, page.index(">", m.end()) + 1)
+            if closing is None:
+                return
+            at = closing.end()
+            continue
+        closing = ends.of(m.end())
+        if closing < 0:  # a quote that never closes: nothing is known of this tag
+            at = page.index(">", start) + 1
+            continue
+        yield tag, ending, page[m.end():closing]
+        at = closing + 1
+
+
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks in page order: decoded, with single spaces, trimmed, none empty."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Path]] = []
+    is_open: Counter[str] = Counter()
     out: list[Block] = []
     pieces: list[str] = []
-    linked, anchors = 0, 0
+    linked, anchors, top = 0, 0, Path()
 
     def close() -> None:
         nonlocal linked
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append(Block(tuple(w for _, names in stack for w in names), text, linked))
+                out.append(Block(stack[-1][1] if stack else top, text, linked))
             pieces.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        text = m["text"]
-        if text is not None:
-            pieces.append(text)
+    def pop() -> str:
+        tag = stack.pop()[0]
+        is_open[tag] -= 1
+        return tag
+
+    for tag, ending, body in _tokens(page):
+        if tag is None:
+            pieces.append(body)
             if anchors:
-                linked += len(text)
+                linked += len(body)
             continue
-        tag = m["tag"]
-        if tag is None:
-            continue  # comment, declaration or raw element
-        tag = tag.lower()
         if tag in INLINE:
             if tag == "a":
-                anchors = max(0, anchors + (-1 if m["end"] else 1))
+                anchors = max(0, anchors + (-1 if ending else 1))
             elif tag == "br":
                 pieces.append(" ")
             continue
         close()
         anchors = 0
-        if m["end"]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None:
-                del stack[at:]
+        if ending:
+            if is_open[tag]:
+                while pop() != tag:
+                    pass
             continue
         if stack and (stack[-1][0] == "p" or stack[-1][0] in CLOSES.get(tag, ())):
-            stack.pop()
+            pop()
         if tag not in VOID:
             names = [tag]
-            for a in _ATTRIBUTE.finditer(m["attrs"] or ""):
+            for a in _ATTRIBUTE.finditer(body):
                 names += _NAME.findall((a[1] or a[2] or a[3] or "").lower())
-            stack.append((tag, tuple(names)))
+            stack.append((tag, Path(tuple(names), stack[-1][1] if stack else top)))
+            is_open[tag] += 1
     close()
     return out
 
 
 def meaning(block: Block) -> int:
     """1 for an article's block, by the nearest container that has a meaning; else by its shape."""
-    for name in reversed(block.path):
-        if name in OTHER and not (name == "header" and "article" in block.path and "h1" in block.path):
-            return 0
-        if name in ARTICLE:
-            return 1
-    return int(block.text.count(" ") >= 20 and 2 * block.linked < len(block.text) and block.path[-1:] != ("li",))
+    found = block.path.meaning()
+    if found is not None:
+        return found
+    return int(block.text.count(" ") >= 20 and 2 * block.linked < len(block.text) and block.path.last != "li")
 
 
 _BUCKETS: dict[str, int] = {}
@@ -142,8 +242,7 @@ def _bucket(word: str) -> int:
 
 def vector(block: Block) -> np.ndarray:
     x = np.zeros(WIDTH, np.float32)
-    for name in block.path:
-        x[_bucket(name) % PATHS] = 1
+    x[:PATHS] = np.unpackbits(np.frombuffer(block.path.bits.to_bytes(PATHS // 8, "little"), np.uint8), bitorder="little")
     words = block.text.lower().split()
     x[PATHS:PATHS + WORDS] = np.bincount([_bucket(w) % WORDS for w in words], minlength=WORDS) / len(words)
     n = len(block.text)
@@ -171,10 +270,11 @@ class Labeller:
         self.p["out"] = rng.normal(0, 0.3, (2 * HIDDEN, 1)).astype(np.float32)
         self.p["bias"] = np.zeros(1, np.float32)
 
-    def _run(self, x, mask, d: str, kept: list | None):
+    def _run(self, x, mask, d: str, kept: list | None, state: list | None = None):
+        """Hidden states in direction ``d``. ``state`` holds h and c from the steps before and is carried on."""
         batch, steps, _ = x.shape
         gates = x @ self.p[f"x{d}"] + self.p[f"b{d}"]
-        h, c = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32)
+        h, c = state or [np.zeros((batch, HIDDEN), np.float32) for _ in range(2)]
         out = np.zeros((batch, steps, HIDDEN), np.float32)
         for t in (range(steps) if d == "f" else range(steps - 1, -1, -1)):
             z = gates[:, t] + h @ self.p[f"h{d}"]
@@ -186,8 +286,22 @@ class Labeller:
             c = on * new + (1 - on) * c
             h = on * (o * np.tanh(new)) + (1 - on) * h
             out[:, t] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
+    def long(self, blocks: list[Block], chunk: int = CHUNK) -> np.ndarray:
+        """Probabilities of one page's blocks, of which ``chunk`` are vectors at a time; the states are carried on."""
+        logits = np.full(len(blocks), self.p["bias"][0], np.float32)
+        starts = range(0, len(blocks), chunk)
+        for n, d in enumerate("fb"):
+            state = [np.zeros((1, HIDDEN), np.float32) for _ in range(2)]
+            for at in starts if d == "f" else reversed(starts):
+                x, mask = padded([[vector(b) for b in blocks[at:at + chunk]]])
+                h = self._run(x, mask, d, None, state)[0]
+                logits[at:at + chunk] += (h @ self.p["out"][n * HIDDEN:(n + 1) * HIDDEN])[:, 0]
+        return _sigmoid(logits)
+
     def probabilities(self, x, mask):
         h = np.concatenate([self._run(x, mask, d, None) for d in "fb"], axis=2)
         return _sigmoid((h @ self.p["out"] + self.p["bias"])[:, :, 0])
@@ -253,8 +367,8 @@ def _moved(blocks: list[Block], pool: list[Block], rng: random.Random) -> list[B
     out = []
     for b in blocks:
         if meaning(b):
-            tag = b.path[-1] if b.path and b.path[-1] in ("h1", "h2", "p", "li", "blockquote", "td") else "p"
-            out.append(Block(("html", "body", *place, tag), b.text, b.linked))
+            tag = b.path.last if b.path.last in ("h1", "h2", "p", "li", "blockquote", "td") else "p"
+            out.append(Block(Path(("html", "body", *place, tag)), b.text, b.linked))
         else:
             out.append(b)
     for _ in range(rng.randrange(6)):
@@ -264,7 +378,7 @@ def _moved(blocks: list[Block], pool: list[Block], rng: random.Random) -> list[B
                              (rng.choice(OTHER), "ul", "li")))
         tail = rng.choice((("p",), (), ("li",), ("h2",), ("label",)))
         picked = [rng.choice(pool) for _ in range(run)]
-        out[at:at] = [Block(("html", "body", *inside, *around, *tail), b.text, b.linked) for b in picked]
+        out[at:at] = [Block(Path(("html", "body", *inside, *around, *tail)), b.text, b.linked) for b in picked]
     return out
 
 
@@ -294,9 +408,12 @@ def _extracted(labeller: Labeller, pages: list[str]) -> list[tuple[str, int, int
     order = sorted((i for i in range(len(pages)) if parsed[i]), key=lambda i: len(parsed[i]))
     while order:
         longest = len(parsed[order[-1]])
-        group = [order.pop() for _ in range(min(len(order), max(1, 8192 // longest)))]
-        x, mask = padded([[vector(b) for b in parsed[i]] for i in group])
-        for i, row in zip(group, labeller.probabilities(x, mask), strict=True):
+        group = [order.pop() for _ in range(min(len(order), max(1, CHUNK // longest)))]
+        if longest > CHUNK:
+            rows = [labeller.long(parsed[group[0]])]
+        else:
+            rows = labeller.probabilities(*padded([[vector(b) for b in parsed[i]] for i in group]))
+        for i, row in zip(group, rows, strict=True):
             kept = [b.text for b, p in zip(parsed[i], row, strict=False) if p > 0.5]
             out[i] = ("\n".join(kept), len(parsed[i]), len(kept))
     return out

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -57,6 +58,35 @@ def test_odd_pages(labeller, page):
     assert kept <= blocks and isinstance(text, str)
 
 
+@pytest.mark.parametrize("piece", ["<script ", "<a ", "</b></i></p>", "<a<", "<div>x", '<a ">"', "<a '\"", "<!-- ", "<p><b>x</div>",
+                                   "<a b='", "</section", "<li class=a>", "</script "])
+def test_long_broken_pages(piece):
+    """Time in proportion to the page: a mebibyte of any piece is parsed within seconds."""
+    began = time.process_time()
+    webpages.blocks_of("<p>" + piece * (2**20 // len(piece)) + ">")
+    webpages.blocks_of("<p>" + piece * (2**20 // len(piece)))
+    assert time.process_time() - began < 20
+
+
+def test_carried_states_equal_one_run(labeller):
+    blocks = webpages.blocks_of(PAGE * 7)
+    at_once = labeller.probabilities(*webpages.padded([[webpages.vector(b) for b in blocks]]))[0]
+    for chunk in (1, 5, len(blocks), 1000):
+        assert np.allclose(labeller.long(blocks, chunk), at_once, atol=1e-5)
+
+
+def test_quotes_and_names():
+    def texts(page):
+        return [b.text for b in webpages.blocks_of(page)]
+    assert texts('<p title="a>b">c</p>d') == ["c", "d"]
+    assert texts("<p title='a\">b'>c") == ["c"]
+    assert texts('<p title="a>b') == ["b"]  # the quote never closes: the tag ends at the first >
+    assert texts("a < b and c > d") == ["a < b and c > d"]
+    assert texts("a<b and <") == ["a<b and <"]
+    assert texts("<title-bar>a</title-bar>b<title>c</title>d") == ["a", "bd"]
+    assert texts("a<!-- > -->b<!-- c") == ["ab"]
+
+
 def test_gradients():
     rng = np.random.default_rng(3)
     net = webpages.Labeller()
