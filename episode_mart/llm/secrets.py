@@ -1,7 +1,9 @@
 """Secret scan: fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
-A candidate is a run of 20 or more characters of ``[A-Za-z0-9+/_=-]`` that holds a digit. Its character
-class (hexadecimal, lower-case, mixed) sets the threshold. A window of 20 characters slides over it; the
+A candidate is a run of 20 or more characters of ``[A-Za-z0-9+/_=-]`` that holds a digit, or letters of both cases
+with two or more lower-case letters that stand alone (names in camel case have hardly any; every eighth letter of a
+random string does). Letters of one case alone are not judged: words run together reach the same entropy. Its
+character class (hexadecimal, lower-case, mixed) sets the threshold. A window of 20 characters slides over it; the
 window's character counts change by one character in and one out, and the entropy follows from them. The
 candidate is a span of kind ``entropy`` when its best window reaches the threshold, unless the allow list
 names it. Everything is SQL functions; nothing is shuffled.
@@ -26,7 +28,9 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
-CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{{{WINDOW},}}+"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}+"
+ALONE = r"(?<![a-z])[a-z](?![a-z])"
+SHUFFLED = rf"[0-9]|{ALONE}.*{ALONE}"  # a digit, or cases that change as in no word
 THRESHOLDS = {"hex": 3.0, "lower": 3.4, "mixed": 3.7}
 ALLOWED = [
     r"^[0-9+/_=-]+$",  # numbers and rulers
@@ -69,7 +73,8 @@ def _is_secret(value: Column) -> Column:
     limit = (F.when(F.rlike(value, F.lit(r"^([0-9a-f]+|[0-9A-F]+)$")), THRESHOLDS["hex"])
              .when(F.rlike(value, F.lit("[A-Z]")) & F.rlike(value, F.lit("[a-z]")), THRESHOLDS["mixed"])
              .otherwise(THRESHOLDS["lower"]))
-    return F.when(allowed, False).otherwise(_entropy(value) >= limit)
+    scored = F.rlike(value, F.lit(SHUFFLED)) & (F.rlike(value, F.lit("[0-9]")) | F.rlike(value, F.lit("[A-Z]")))
+    return F.when(~scored | allowed, False).otherwise(_entropy(value) >= limit)
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:

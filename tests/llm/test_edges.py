@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import string
 
 import pytest
@@ -108,6 +109,39 @@ def test_secrets(frame):
     assert secrets.report(secrets.scan(odd(frame).drop("row"))).count() == len(ODD)
 
 
+def judged(value):
+    """Plainly: whether a candidate is a secret."""
+    alone = re.findall(r"(?<![a-z])[a-z](?![a-z])", value)
+    if not re.search("[0-9]", value) and (len(alone) < 2 or value == value.lower()):
+        return False
+    if (re.fullmatch(r"[0-9+/_=-]+", value) or re.fullmatch(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", value)
+            or re.search(r"(?i)example|sample|placeholder|changeme|dummy|x{6,}", value)
+            or re.fullmatch(r"[A-Za-z]+([-_/][A-Za-z]+)*[-_/]?[0-9]{1,4}", value)):
+        return False
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", value):
+        limit = 3.0
+    else:
+        limit = 3.7 if re.search("[A-Z]", value) and re.search("[a-z]", value) else 3.4
+    return best_window(value) >= limit - 1e-9
+
+
+def test_entropy_spans_equal_brute_force(frame):
+    rng = random.Random(9)
+    alphabets = (string.ascii_letters, string.ascii_lowercase, string.ascii_letters + string.digits + "+/", "0123456789abcdef",
+                 "abCD", "ab-_", string.ascii_uppercase + "+")
+    texts = [" ".join("".join(rng.choice(a) for _ in range(rng.choice([18, 20, 24, 36, 60]))) for a in alphabets) for _ in range(40)]
+    texts += ["getUserAccountInformationFromDatabase", "path/to/some/long/directory/name", "-" * 50, "a" * 200_000,
+              "aB" * 50_000, "TheQuickBrownFoxJumpsOverTheLazyDog", "internationalizationandlocalization"]
+    got = {r["doc_id"]: {(s["start"], s["end"]) for s in r["entropy"]} for r in
+           secrets.scan(frame([(i, t, None) for i, t in enumerate(texts)])).collect()}
+    letters = 0
+    for i, text in enumerate(texts):
+        expected = {m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text) if judged(m[0])}
+        assert got[i] == expected, text[:100]
+        letters += sum(not re.search("[0-9]", text[a:b]) for a, b in expected)
+    assert letters > 15 and not any(got[i] for i in range(40, 47))
+
+
 def test_contamination(spark, frame):
     rng = random.Random(4)
     words = [rng.choice("alpha beta gamma delta eps zeta eta theta iota kappa".split()) + str(rng.randrange(50)) for _ in range(40)]
