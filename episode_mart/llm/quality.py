@@ -8,9 +8,14 @@ those few buckets. A document is dropped when the Jensen-Shannon distance (base
 histogram exceeds its threshold. Below ``STEADY_WORDS`` words sampling noise widens the distance of words, whose
 threshold rises with it; documents below ``MIN_WORDS`` words fail the base rule and are not compared.
 
-Defined cases: null and empty texts have no words and fail the base rule. A document whose language is
-null, or has no reference, is compared with the nearest reference; without references none is. Columns
-named like an output are replaced.
+A document is compared with the other documents of its language: its own counts are taken out of the reference.
+A reference holds if at least ``LEAST_REFERENCE`` words remain in it. A document of a language without one is compared
+with the nearest reference, by its classes alone, as its words are none of that language's.
+
+Defined cases: null and empty texts have no words and fail the base rule. A document whose language is null is
+compared with the nearest reference by both histograms; without references none is. References must cover the
+documents that are judged; a document they do not hold is taken out as far as they go. Columns named like an
+output are replaced.
 """
 
 from __future__ import annotations
@@ -37,6 +42,7 @@ MAX_WORD_DISTANCE = 0.36
 # The squared distance grows by so much a 1/word: the least whole number that keeps all but one of 312 good labelled
 # documents of 50 to 99 words of sf0.1.
 NOISE = 5
+LEAST_REFERENCE = 1_000
 HELD = 200_000
 
 _SYMBOLS = b"#*$%&|<>"
@@ -188,24 +194,36 @@ class Rules:
             counts = np.array([*common.values(), total - sum(common.values())], float)
             self.of[one] = (classes[:REST], {w: i for i, w in enumerate(common)}, counts)
 
-    def distances(self, lang: str | None, classes: np.ndarray, words: dict[bytes, int], n: int) -> tuple[float, float]:
-        best = None
-        for one in ([lang] if lang in self.of else self.of):
-            ref_classes, index, ref_words = self.of[one]
-            own = np.zeros(len(ref_words))
-            for word, at in index.items():
-                own[at] = words.get(word, 0)
-            own[-1] = n - own.sum()
-            got = distance(classes[:REST], ref_classes), distance(own, ref_words)
-            if best is None or sum(got) < sum(best):
-                best = got
-        return best or (0.0, 0.0)
+    def distances(self, lang: str | None, classes: np.ndarray, words: dict[bytes, int],
+                  n: int) -> tuple[float | None, float | None]:
+        """Distance of classes and of words; null where there is nothing to compare with."""
+        own = self.of.get(lang)
+        if own is not None and own[2].sum() - n >= LEAST_REFERENCE:
+            return self._distances(own, classes, words, n, 1)
+        # of a language without a reference (or of none): the nearest of all references
+        others = [r for k, r in self.of.items() if k != lang and r[2].sum() >= LEAST_REFERENCE]
+        found = [self._distances(r, classes, words, n, 0) for r in others]
+        if lang is None:
+            return min(found, key=sum, default=(None, None))
+        return min((f[0] for f in found), default=None), None
+
+    @staticmethod
+    def _distances(ref, classes, words, n, own: int) -> tuple[float, float]:
+        """Distances from a reference, without the document's own counts if it is one of it."""
+        ref_classes, index, ref_words = ref
+        counts = np.zeros(len(ref_words))
+        for word, at in index.items():
+            counts[at] = words.get(word, 0)
+        counts[-1] = n - counts.sum()
+        classes = classes[:REST]
+        return (distance(classes, np.maximum(ref_classes - own * classes, 0)),
+                distance(counts, np.maximum(ref_words - own * counts, 0)))
 
 
 def judge(docs: DataFrame, found: dict, text: str = "text", lang: str = "lang",
           max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE,
           min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the counts, both distances (null when too short), base_failed and kept."""
+    """``docs`` with the counts, both distances (null when too short or without a reference), base_failed and kept."""
     fields = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"),
               ("n_repeat_words", "long"), ("class_distance", "double"), ("word_distance", "double"),
               ("base_failed", "boolean"), ("kept", "boolean")]
@@ -226,7 +244,8 @@ def judge(docs: DataFrame, found: dict, text: str = "text", lang: str = "lang",
         by_class = by_word = None
         if n >= min_words:
             by_class, by_word = rules.distances(lang, classes, Counter(map(plain, words)), n)
-        far = n >= min_words and (by_class > max_class_distance or by_word > word_threshold(n, max_word_distance))
+        far = ((by_class is not None and by_class > max_class_distance)
+               or (by_word is not None and by_word > word_threshold(n, max_word_distance)))
         return (n, chars, int(classes[SYMBOL]), repeated_lines(body), repeats, by_class, by_word, failed,
                 not failed and not far)
 

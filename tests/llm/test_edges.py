@@ -261,6 +261,48 @@ def test_quality_of_short_documents(frame):
     assert got == {1_000: True, 1_001: False, 1_002: False}
 
 
+def test_quality_distances_equal_brute_force(frame):
+    rng = random.Random(4)
+    words = {k: [f"{k}{i}" for i in range(40)] for k in ("aa", "bb")}
+    docs = [(i, " ".join(rng.choices(words[k], k=rng.randrange(50, 140))), k) for i, k in enumerate(["aa", "bb"] * 40)]
+    docs += [(100, "#$% &|<" * 90, "xx"), (101, " ".join(rng.choices(words["aa"], k=90)), "yy"),
+             (102, " ".join(rng.choices(words["bb"], k=60)), None), (103, "#### " * 40 + " ".join(f"#{i}" for i in range(60)), "zz")]
+    got = {r["doc_id"]: r for r in quality.judge(frame(docs), quality.references(frame(docs))).collect()}
+
+    def classes(text):
+        kinds = [quality._CLASS[ord(c)] for c in text]
+        return [kinds.count(k) for k in range(7)]
+
+    def distance(p, q):
+        p, q = ([x / sum(v) for x in v] for v in (p, q))
+        bits = sum(x * math.log2(2 * x / (x + y)) for a, b in ((p, q), (q, p)) for x, y in zip(a, b) if x)
+        return math.sqrt(max(0, bits / 2))
+
+    for doc, text, lang in docs:
+        own, n = text.split(), len(text.split())
+        found = []
+        for k in ("aa", "bb"):
+            every = [t for _, t, one in docs if one == k]
+            others = [t for d, t, one in docs if one == k and d != doc]
+            all_words = " ".join(every).split()
+            common = sorted(w for w in set(all_words) if all_words.count(w) >= 0.002 * len(all_words))
+            rest = " ".join(others).split()
+            counts = [[v.count(w) for w in common] for v in (own, rest)]
+            found.append((k, distance(classes(text), [sum(c) for c in zip(*map(classes, others))]),
+                          distance(*[[*c, len(v) - sum(c)] for c, v in zip(counts, (own, rest))])))
+        at = [f for f in found if f[0] == lang] or [min(found, key=lambda f: f[1] + (f[2] if lang is None else 0))]
+        r = got[doc]
+        assert r["class_distance"] == pytest.approx(at[0][1], abs=1e-9)
+        if lang in ("xx", "yy", "zz"):
+            assert r["word_distance"] is None
+        else:
+            assert r["word_distance"] == pytest.approx(at[0][2], abs=1e-9)
+        far = r["class_distance"] > 0.30 or (r["word_distance"] or 0) > (
+            0.36 ** 2 + 5 * max(0, 1 / n - 1 / 100)) ** 0.5
+        assert r["kept"] == (not r["base_failed"] and not far)
+    assert not got[100]["kept"] and got[101]["kept"] and not got[103]["kept"]
+
+
 def test_common_words_are_exact(spark, frame):
     rng = random.Random(7)
     words = [f"w{int(rng.paretovariate(0.6)) % 4000}" for _ in range(30_000)]
