@@ -15,7 +15,8 @@ ratio, and bands into blocks: a block meets the blocks of its own band and of th
 others. Within tiles and blocks nodes are sorted by size, and each meets only those that are near enough.
 
 A pair is compared by parity bitmaps of hashed shingles: common shingles cancel out, so the bit count of
-their difference bounds the overlap from above. Pairs that pass are verified exactly by intersecting the
+their difference bounds the overlap from above. A bitmap has about as many bits as the set has shingles, up to
+``BITS``; folded by exclusive or it is the bitmap of fewer bits, so sets of any sizes compare. Pairs that pass are verified exactly by intersecting the
 sorted shingle arrays, computed from the whole texts. No pair of one component is compared twice for
 nothing and none of two components is left out, so components are exact.
 
@@ -78,11 +79,42 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _parity(found: np.ndarray) -> np.ndarray:
-    """Bits that tell whether an odd number of shingles falls in a bucket, as 64-bit integers."""
-    counts = np.bincount((found >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS)
+    """Bits that tell whether an odd number of shingles falls in a bucket, as 64-bit integers.
+
+    The number of bits is the power of two from 64 ``FIRST`` to BITS that is not below the number of shingles.
+    """
+    bits = 64 * FIRST
+    while bits < min(len(found), BITS):
+        bits *= 2
+    counts = np.bincount((found >> np.uint64(40)).astype(np.int64) % bits, minlength=bits)
     return np.packbits(counts.astype(np.uint8) & 1).view(np.int64)
 
 
+def _differing(a: Column, b: Column) -> Column:
+    """Bits that differ between two bitmaps, the longer one folded to the length of the other."""
+    words = F.least(F.size(a), F.size(b))
+
+    def folded(bits: Column, i: Column) -> Column:
+        return F.aggregate(F.sequence(i, F.size(bits) - 1, words), F.lit(0).cast("long"),
+                           lambda x, k: x.bitwiseXOR(F.get(bits, k)))
+    return F.aggregate(F.sequence(F.lit(0), words - 1), F.lit(0), lambda n, i: n + F.bit_count(
+        folded(a, i).bitwiseXOR(folded(b, i))))
+
+
+def _folds(bits: pa.ListArray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Words of each bitmap, and the bitmaps folded to each length; rows of shorter ones are 0 there."""
+    lengths = np.diff(np.asarray(bits.offsets))
+    flat, starts = np.asarray(bits.flatten()).view(np.uint64), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    out = {}
+    for words in np.unique(lengths):
+        out[int(words)] = into = np.zeros((len(lengths), words), np.uint64)
+        for longer in np.unique(lengths[lengths >= words]):
+            rows = np.flatnonzero(lengths == longer)
+            whole = flat[starts[rows][:, None] + np.arange(longer)]
+            into[rows] = np.bitwise_xor.reduce(whole.reshape(len(rows), -1, words), axis=1)
+    return lengths, out
+
+
 def signatures(docs: DataFrame, id_column: str, text: str, words: int, percent: int,
                heavy: np.ndarray | None = None) -> DataFrame:
     """(doc_id, row, n, node, prefix, bits) per row; node, prefix and bits are null without shingles."""
@@ -93,7 +125,7 @@ def signatures(docs: DataFrame, id_column: str, text: str, words: int, percent:
     def run(batches):
         heavy = last.value
         for batch in batches:
-            sizes, nodes, at, prefixes, bits = [], [], [0], [], []
+            sizes, nodes, at, prefixes, bits, places = [], [], [0], [], [], [0]
             for body in texts(batch.column(2)):
                 found = shingles(body, words)
                 n = len(found)
@@ -110,8 +142,7 @@ def signatures(docs: DataFrame, id_column: str, text: str, words: int, percent:
                 else:
                     nodes.append(None)
                     at.append(at[-1])
-            full = np.array(sizes) > 0
-            places = np.concatenate([[0], np.cumsum(full * (BITS // 64))]).astype(np.int32)
+                places.append(places[-1] + (len(bits[-1]) if n else 0))
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             flags = np.concatenate(bits) if bits else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -136,8 +167,7 @@ def _stars(tiles: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     near = (pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
             .where(_may_link(percent, F.col("na"), F.col("nb"))))
     with_bits = near.join(nodes.select(F.col("node").alias("b"), F.col("bits").alias("bb")), "b")
-    differing = sum(F.bit_count(F.get("ba", F.lit(i)).bitwiseXOR(F.get("bb", F.lit(i)))) for i in range(BITS // 64))
-    return with_bits.withColumn("d", differing).where(_may_link(percent, F.col("na"), F.col("nb"), F.col("d"))).select(
+    return with_bits.withColumn("d", _differing(F.col("ba"), F.col("bb"))).where(_may_link(percent, F.col("na"), F.col("nb"), F.col("d"))).select(
         "a", "b", (F.col("d") / (F.col("na") + F.col("nb"))).alias("score"))
 
 
@@ -230,22 +260,25 @@ def _crossing(mixed: DataFrame, nodes: DataFrame, percent: int, forest: bool) ->
         for begin, stop in _runs(after):
             i = np.repeat(at[begin:stop], after[begin:stop])
             j = np.arange(len(i)) - np.repeat(np.cumsum(after[begin:stop]) - after[begin:stop], after[begin:stop]) + i + 1
-            root, block, lo, hi, bits = (rows[c] for c in ("root", "own", "lo", "hi", "bits"))
+            root, block, lo, hi = (rows[c] for c in ("root", "own", "lo", "hi"))
             near = (root[i] != root[j]) & ((lo[i] == hi[i]) | (block[i] != block[j]))
-            i, j = i[near], j[near]
-            differing, sizes = np.zeros(len(i), np.int64), n[i] + n[j]
-            for part in (slice(0, FIRST), slice(FIRST, None)):
-                differing = differing + np.bitwise_count(bits[i, part] ^ bits[j, part]).sum(axis=1)
-                good = (100 + percent) * (sizes - differing) >= 2 * percent * sizes
-                i, j, differing, sizes = i[good], j[good], differing[good], sizes[good]
-            yield i, j, differing / sizes
+            every_i, every_j = i[near], j[near]
+            lengths, folds = rows["bits"]
+            words = np.minimum(lengths[every_i], lengths[every_j])
+            for length, bits in folds.items():
+                i, j = every_i[words == length], every_j[words == length]
+                differing, sizes = np.zeros(len(i), np.int64), n[i] + n[j]
+                for part in (slice(0, FIRST), slice(FIRST, None)):
+                    differing = differing + np.bitwise_count(bits[i, part] ^ bits[j, part]).sum(axis=1)
+                    good = (100 + percent) * (sizes - differing) >= 2 * percent * sizes
+                    i, j, differing, sizes = i[good], j[good], differing[good], sizes[good]
+                yield i, j, differing / sizes
 
     def compared(table: pa.Table):
         if len(table) < 2:
             return
         rows = {c: np.asarray(table.column(c).combine_chunks()) for c in ("key", "lo", "hi", "own", "node", "n", "root")}
-        bits = table.column("bits").combine_chunks()
-        rows["bits"] = np.asarray(bits.flatten()).view(np.uint64).reshape(len(table), -1)
+        rows["bits"] = _folds(table.column("bits").combine_chunks())
         new = np.zeros(len(table), bool)
         for c in ("key", "lo", "hi"):
             new[1:] |= rows[c][1:] != rows[c][:-1]

@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from compare import DATA
+from pyspark.sql import functions as F
 
 from episode_mart.llm import neardup
 from episode_mart.llm.graphs import components
@@ -160,3 +162,32 @@ def test_forest_connects_what_the_edges_connect():
         whole = parts(range(len(u)))
         assert parts(picked) == whole
         assert len(picked) == len(whole) - len(set(whole.values()))
+
+
+def test_bitmaps_of_any_two_sizes_bound_the_overlap(spark):
+    rng = np.random.default_rng(5)
+    sets_, pairs = [], []
+    for size in (1, 30, 250, 258, 500, 530, 1000, 1100, 2000, 2100, 5000):
+        base = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+        other = np.unique(np.concatenate([base[: max(1, size * 19 // 20)], rng.integers(0, 1 << 63, size // 8, np.uint64)]))
+        sets_ += [base, other]
+    lengths, folds = neardup._folds(pa.array([neardup._parity(x) for x in sets_], pa.list_(pa.int64())))
+    for i, a in enumerate(sets_):
+        for j, b in enumerate(sets_):
+            bits = folds[min(lengths[i], lengths[j])]
+            d = int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+            assert d <= len(np.setxor1d(a, b))
+            pairs.append(([int(x) for x in neardup._parity(a)], [int(x) for x in neardup._parity(b)], d))
+    got = spark.createDataFrame(pairs, "a array<long>, b array<long>, d int").select(
+        "d", neardup._differing(F.col("a"), F.col("b")).alias("e")).collect()
+    assert all(r["d"] == r["e"] for r in got) and set(lengths) == {4, 8, 16, 32}
+
+
+def test_sizes_on_both_sides_of_a_bitmap_length(frame):
+    rng, rows = random.Random(6), []
+    for size in (255, 262, 510, 520, 1020, 1040, 2040, 2070, 4000):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        for n in (0, 3, size // 60, size // 25, size // 12):
+            rows.append((len(rows), " ".join(words + [f"x{rng.randrange(10**6)}" for _ in range(n)])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.join(frame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: (n, c) for d, n, c in brute(rows, neardup.WORDS, neardup.PERCENT)}
