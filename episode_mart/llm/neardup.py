@@ -6,7 +6,7 @@ here is by hash, with shingles of very many prefixes last. Nodes that share such
 
 1. The first node of each tile is compared with the others. Of the pairs that may link, every node's
    likeliest is verified, which makes most of every group one component.
-2. What a tile then holds of different components is compared with each other. Of the pairs that may link,
+2. What a tile then holds of different components, near enough in size, is compared with each other. Of the pairs that may link,
    a spanning forest is verified.
 3. This is done once more, and all pairs of different components that may still link are verified.
 
@@ -210,12 +210,26 @@ def _parted(pairs: DataFrame, found: DataFrame) -> DataFrame:
         F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "score")
 
 
-def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, node, n, root, m) of the tiles that hold nodes of several components, m in all."""
+def _band(n: Column, percent: int) -> Column:
+    """The band of a size: sizes that can link lie in one band or in two side by side."""
+    # a little wider than the ratio, so that rounding puts no pair two bands apart
+    return F.floor(F.ln(n) / (1.001 * max(math.log(100 / percent), 1e-9)))
+
+
+def _mixed(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, root, m) of the nodes whose tile holds nodes of other components in their band or beside it.
+
+    m counts all nodes of the tile. A tile has few bands, as many as sizes have powers of the ratio.
+    """
     rooted = members.select("key", "node", "n").join(found, "node", "left").select(
-        "key", "node", "n", F.coalesce("root", "node").alias("root"))
-    tiles = rooted.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    return rooted.join(tiles.where("lo <> hi").select("key", "m"), "key")
+        "key", "node", "n", F.coalesce("root", "node").alias("root"), _band(F.col("n"), percent).alias("band"))
+    banded = rooted.groupBy("key", "band").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    tiles = banded.groupBy("key").agg(
+        F.sum("m").alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.map_from_entries(F.collect_list(F.struct("band", F.struct("lo", "hi")))).alias("bands")).where("lo <> hi")
+    near = [F.try_element_at("bands", F.col("band") + i) for i in (-1, 0, 1)]
+    return rooted.join(tiles.select("key", "m", "bands"), "key").where(
+        F.least(*[b["lo"] for b in near]) != F.greatest(*[b["hi"] for b in near])).select("key", "node", "n", "root", "m")
 
 
 def _blocks(mixed: DataFrame, percent: int) -> DataFrame:
@@ -223,9 +237,7 @@ def _blocks(mixed: DataFrame, percent: int) -> DataFrame:
 
     A block's number is that of its band times 2^20, plus its number in the band. A small tile is one block.
     """
-    # a little wider than the ratio, so that rounding puts no pair two bands apart
-    width = 1.001 * max(math.log(100 / percent), 1e-9)
-    banded = mixed.withColumn("band", F.floor(F.ln("n") / width))
+    banded = mixed.withColumn("band", _band(F.col("n"), percent))
     of_band = banded.where(F.col("m") > BLOCK).groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     bands = of_band.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("bands"))
 
@@ -417,7 +429,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words:
     links = _verified(_likeliest(stars), source, nodes, words, percent)
     found, members = components(links, scratch=scratch), tiles.where("node <> first")
     for forest in (True, False):
-        members, stars = scratch.keep(_mixed(members, found)), scratch.keep(_parted(stars, found))
+        members, stars = scratch.keep(_mixed(members, found, percent)), scratch.keep(_parted(stars, found))
         crossing = _crossing(members, nodes, percent, forest)
         pairs = (_likeliest(stars) if forest else stars.select("a", "b")).unionAll(crossing.select("a", "b")).distinct()
         links = links.unionAll(_verified(pairs, source, nodes, words, percent))
