@@ -1,0 +1,75 @@
+"""What is computed once: facts behind a keyed join, rules of an id, the listing of patients; and files by size."""
+
+import datetime
+import re
+
+from pyspark.sql import functions as F
+
+from episode_mart.checks import queries
+from episode_mart.operators.rules import correct_ids, exclude_and_correct, exclude_ids
+from episode_mart.operators.skew import join_by_key
+from episode_mart.plans import ingest
+from episode_mart.plans.clean import clean_transactions
+from episode_mart.plans.refresh import read_mart, refresh, vacuum
+from episode_mart.sources import versions
+
+SF = "/root/testdata/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_keyed_join_reads_the_facts_once(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    spark.createDataFrame([("x", 1), (None, 2), ("y", 3)], "k string, v int").write.parquet(path)
+    lookup = spark.createDataFrame([("x", 1, "X")], "k string, n int, name string")
+    joined = join_by_key(spark.read.parquet(path), lookup, ["k"], "n")
+    assert len(re.findall(r"Relation \[", plan(joined))) == 1
+    assert sorted((r.v, r.name) for r in joined.collect()) == [(1, "X"), (2, None), (3, None)]
+
+
+def test_exclusions_and_corrections_in_one_join_equal_two(spark):
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(["1", "2 ", "a", "A", "3", "4", None, ""])], "i int, n string")
+    out = spark.createDataFrame([("1",), ("a ",), (None,), ("a",)], "raw_id string")
+    rules = spark.createDataFrame([("pre", "2", "9"), ("pre", "2", "8"), ("pre", "1", "7"), ("post", "3", "6"), ("pre", "4", None),
+                                   ("pre", None, "5"), ("pre", "8", "0")], "stage string, from_id string, to_id string")
+    two = correct_ids(exclude_ids(df, out, "n").withColumn("c", F.col("n")), rules, "pre", "c")
+    one = exclude_and_correct(df, out, rules, "pre", "n", "c")
+    assert sorted(map(tuple, one.select("i", "n", "c").collect())) == sorted(map(tuple, two.select("i", "n", "c").collect()))
+    raw = spark.createDataFrame([("1", "A")], "patient_number string, patient_full_name string")
+    cleaned = clean_transactions(raw, out, rules, datetime.date(2026, 1, 1))
+    assert len(re.findall(r"Join Left", plan(cleaned))) == 2
+
+
+def test_exported_files_are_as_many_as_the_rows_need(spark, tmp_path):
+    key, old = "spark.sql.adaptive.advisoryPartitionSizeInBytes", spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set(key, "20k")
+    try:
+        df = spark.range(200_000).select(F.col("id").cast("string").alias("a"), F.sha2(F.col("id").cast("string"), 256).alias("b"))
+        queries._write_csv(df.repartition(1), str(tmp_path / "out"))
+    finally:
+        spark.conf.set(key, old)
+    files = list((tmp_path / "out").glob("part-*"))
+    assert len(files) > 4
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 200_000
+
+
+def test_a_load_writes_no_empty_tables_and_the_listing_is_written(spark, tmp_path):
+    base = str(tmp_path / "base")
+    for table, view in queries._LOADED.items():
+        queries._load(spark, base, table, queries.spark_view(spark, SF, view))
+    part = ingest.loads(spark, base, "AtRisk").parts["1"]
+    held = [p.name for p in (tmp_path / "base/raw/AtRisk" / part).iterdir()]
+    assert held == ["rows"]
+    assert ingest.rejects(spark, base, "AtRisk").count() == ingest.lost_values(spark, base, "AtRisk").count() == 0
+    assert ingest.loaded_files(spark, base, "AtRisk").columns == ["path", "modificationTime", "length"]
+    queries._load_rules(spark, SF, base)
+    refresh(spark, base, queries.AS_OF, labels=False, buckets=4)
+    assert versions.snapshot(spark, f"{base}/stage/AriaListing_rows").version == 1
+    whole = queries.QUERIES["mart_patients"](spark, SF)
+    key = next(c for c in read_mart(spark, base, "AriaData").columns if c not in whole.columns)
+    got = read_mart(spark, base, "AriaData").drop(key)
+    assert got.exceptAll(whole).count() == whole.exceptAll(got).count() == 0
+    vacuum(spark, base, versions=1, hours=0)
+    assert read_mart(spark, base, "AriaData").count() == whole.count()
