@@ -43,14 +43,28 @@ def _transactions(spark: SparkSession, sf: str) -> DataFrame:
         "patient_number_updated", text.normalize_tx_id(F.col("patient_number")))
 
 
+def _staged(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """Rows written and read back, as the refresh does with its stage tables: what reads them more than once
+    does not make them anew each time."""
+    path = scratch_dir(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _facts(spark: SparkSession, sf: str) -> DataFrame:
+    """What episodes take from the transactions, as a stage table."""
+    return _staged(spark, _transactions(spark, sf).select(
+        *ROW, "patient_number_updated", "from_dos", "insurance_name", "units", "remaining_balance"))
+
+
 def _referrals(spark: SparkSession, sf: str) -> DataFrame:
     return spark_view(spark, sf, "raw_referrals").withColumn(
         "patient_id", text.normalize_rf_id(F.col("patient_id")))
 
 
-def _enriched(spark: SparkSession, sf: str) -> DataFrame:
-    return enrich.enriched_episodes(
-        _referrals(spark, sf), _transactions(spark, sf), spark_view(spark, sf, "payer_crosswalk"))
+def _enriched(spark: SparkSession, sf: str, facts: DataFrame | None = None) -> DataFrame:
+    return _staged(spark, enrich.enriched_episodes(
+        _referrals(spark, sf), _facts(spark, sf) if facts is None else facts, spark_view(spark, sf, "payer_crosswalk")))
 
 
 def _cleaned(spark: SparkSession, sf: str, view: str = "wide_transactions") -> DataFrame:
@@ -326,8 +340,9 @@ def _visits(spark, sf) -> DataFrame:
 
 
 def tx_assign_episode(spark, sf):
+    facts = _staged(spark, _transactions(spark, sf).select(*ROW, "patient_number_updated", "from_dos"))
     return ep.assign_episodes(
-        _transactions(spark, sf), _visits(spark, sf), "patient_number_updated", "from_dos",
+        facts, _visits(spark, sf), "patient_number_updated", "from_dos",
         ["referral_date", "visit_number"],
     ).select(*ROW, "patient_key", "from_dos", "referral_date", "visit_number")
 
@@ -365,17 +380,17 @@ def rf_with_transactions(spark, sf):
 
 
 def payer_units(spark, sf):
-    return payers.payer_units(_referrals(spark, sf), _transactions(spark, sf))
+    return payers.payer_units(_referrals(spark, sf), _facts(spark, sf))
 
 
 def payer_rank(spark, sf):
-    activity = ep.episode_activity(_referrals(spark, sf), _transactions(spark, sf))
+    activity = ep.episode_activity(_referrals(spark, sf), _facts(spark, sf))
     return payers.rank_payers(activity).select(
         "patient_key", "episode.referral_date", "payer", "payer_rank")
 
 
 def top_payers(spark, sf):
-    return payers.episode_totals(_referrals(spark, sf), _transactions(spark, sf)).select(
+    return payers.episode_totals(_referrals(spark, sf), _facts(spark, sf)).select(
         "patient_key", "referral_date", "updated_primary", "updated_secondary")
 
 
@@ -431,7 +446,8 @@ def enrich_referrals(spark, sf):
 
 
 def enrich_transactions(spark, sf):
-    return enrich.enrich_transactions(_transactions(spark, sf), _enriched(spark, sf)).select(
+    facts = _facts(spark, sf)
+    return enrich.enrich_transactions(facts, _enriched(spark, sf, facts)).select(
         *ROW, "patient_number_updated", "visit_number", "trans_mrn", "primary_insurance",
         "secondary_insurance", "insurance_abv", "insurance_cat", "payer_roll_up")
 

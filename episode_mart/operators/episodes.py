@@ -118,7 +118,7 @@ def episode_activity(referrals: DataFrame, transactions: DataFrame) -> DataFrame
     """
     attributes = ["referral_date", "next_date", "visit_number", "referrals"]
     activity = daily_activity(transactions)
-    days = activity.select("patient_key", "day").distinct()
+    days = _days_of(transactions).distinct()
     placed = carry_forward(days, episodes(referrals), attributes).where(F.col("episode").isNotNull())
     shown = placed.where("is_fact = 1").select("patient_key", "day", "episode", "patient_seen")
     empty = placed.where("is_empty").select("patient_key", "episode", "patient_seen")
@@ -151,15 +151,18 @@ def episode_balance(referrals: DataFrame, transactions: DataFrame) -> DataFrame:
     )
 
 
-def day_map(facts: DataFrame, eps: DataFrame, attributes: list[str]) -> DataFrame:
-    """Episode attributes of each (``patient_key``, ``day``) among the facts, with the fact count."""
-    days = (
+def _day_counts(facts: DataFrame) -> DataFrame:
+    return (
         facts.where(F.col("patient_key").isNotNull() & F.col("day").isNotNull())
         .groupBy("patient_key", "day")
         .agg(F.count("*").alias("facts"))
     )
+
+
+def day_map(facts: DataFrame, eps: DataFrame, attributes: list[str]) -> DataFrame:
+    """Episode attributes of each (``patient_key``, ``day``) among the facts, with the fact count."""
     return (
-        carry_forward(days, eps, attributes)
+        carry_forward(_day_counts(facts), eps, attributes)
         .where("is_fact = 1")
         .select("patient_key", "day", "facts", *[F.col("episode")[a].alias(a) for a in attributes])
     )
@@ -185,4 +188,4 @@ def assign_episodes(
     """
     keyed = with_days(facts, patient, date)
     mapped = day_map(keyed, eps, attributes)
-    return join_by_key(keyed, mapped, ["patient_key", "day"], "facts", hot_rows).drop("day")
+    return join_by_key(keyed, mapped, ["patient_key", "day"], "facts", hot_rows, counts=_day_counts(keyed)).drop("day")
