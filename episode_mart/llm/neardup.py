@@ -15,8 +15,9 @@ ratio, and bands into blocks: a block meets the blocks of its own band and of th
 others. Within tiles and blocks nodes are sorted by size, and each meets only those that are near enough.
 
 A pair is compared by parity bitmaps of hashed shingles: common shingles cancel out, so the bit count of
-their difference bounds the overlap from above. A bitmap has about as many bits as the set has shingles, up to
-``BITS``; folded by exclusive or it is the bitmap of fewer bits, so sets of any sizes compare. Pairs that pass are verified exactly by intersecting the
+their difference bounds the overlap from above. A bitmap has ``SPARE`` times as many bits as two sets of that size may differ in
+shingles and still link, up to ``BITS``: sets without common shingles then differ in half of the bits, which is too many.
+Folded by exclusive or it is the bitmap of fewer bits, so sets of any sizes compare. Pairs that pass are verified exactly by intersecting the
 sorted shingle arrays, computed from the whole texts. No pair of one component is compared twice for
 nothing and none of two components is left out, so components are exact.
 
@@ -43,10 +44,12 @@ from episode_mart.llm.graphs import components
 
 WORDS = 3
 PERCENT = 90
-BITS = 2048
+BITS = 1 << 14  # enough for sets of 25,000 shingles at 80 percent, 50,000 at 90
+SPARE = 3
 BLOCK = 2048
 HEAVY = 10_000
 COMPARED = 200_000
+WORDS_AT_ONCE = 1 << 20  # 64-bit words of bitmaps that are compared in one step
 FIRST = 4  # 64-bit words of the bitmaps that are compared before the others
 BUCKETS = 1 << 20
 
@@ -78,13 +81,14 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _parity(found: np.ndarray) -> np.ndarray:
+def _parity(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Bits that tell whether an odd number of shingles falls in a bucket, as 64-bit integers.
 
-    The number of bits is the power of two from 64 ``FIRST`` to BITS that is not below the number of shingles.
+    The number of bits is the power of two from 64 ``FIRST`` to BITS that is not below ``SPARE`` times the number of
+    shingles in which two sets of this size may differ.
     """
-    bits = 64 * FIRST
-    while bits < min(len(found), BITS):
+    bits, enough = 64 * FIRST, SPARE * 2 * (100 - percent) * len(found) / (100 + percent)
+    while bits < min(enough, BITS):
         bits *= 2
     counts = np.bincount((found >> np.uint64(40)).astype(np.int64) % bits, minlength=bits)
     return np.packbits(counts.astype(np.uint8) & 1).view(np.int64)
@@ -133,7 +137,7 @@ def signatures(docs: DataFrame, id_column: str, text: str, words: int, percent:
                 if n:
                     nodes.append(int(xxhash.xxh64_intdigest(found.tobytes())) - (1 << 63))
                     p = prefix_length(n, percent)
-                    bits.append(_parity(found))
+                    bits.append(_parity(found, percent))
                     if len(heavy) and np.isin(found[:p], heavy).any():
                         late = np.isin(found, heavy)
                         found = np.concatenate([found[~late], found[late]])
@@ -279,11 +283,7 @@ def _crossing(mixed: DataFrame, nodes: DataFrame, percent: int, forest: bool) ->
             words = np.minimum(lengths[every_i], lengths[every_j])
             for length, bits in folds.items():
                 i, j = every_i[words == length], every_j[words == length]
-                differing, sizes = np.zeros(len(i), np.int64), n[i] + n[j]
-                for part in (slice(0, FIRST), slice(FIRST, None)):
-                    differing = differing + np.bitwise_count(bits[i, part] ^ bits[j, part]).sum(axis=1)
-                    good = (100 + percent) * (sizes - differing) >= 2 * percent * sizes
-                    i, j, differing, sizes = i[good], j[good], differing[good], sizes[good]
+                i, j, differing, sizes = _passing(bits, i, j, n[i] + n[j], percent)
                 yield i, j, differing / sizes
 
     def compared(table: pa.Table):
@@ -324,6 +324,23 @@ def _crossing(mixed: DataFrame, nodes: DataFrame, percent: int, forest: bool) ->
     return sorted_tiles.mapInArrow(run, "a long, b long, score double")
 
 
+def _passing(bits: np.ndarray, i: np.ndarray, j: np.ndarray, sizes: np.ndarray, percent: int):
+    """Of the pairs (i, j) those whose bitmaps pass, with their differing bits and sizes.
+
+    Words are compared in growing parts, so that most pairs end at the first.
+    """
+    differing, begin = np.zeros(len(i), np.int64), 0
+    while begin < bits.shape[1]:
+        part = slice(begin, begin := max(FIRST, 2 * begin))
+        at_once = max(1, WORDS_AT_ONCE // (part.stop - part.start))
+        for k in range(0, len(i), at_once):
+            some = slice(k, k + at_once)
+            differing[some] += np.bitwise_count(bits[i[some], part] ^ bits[j[some], part]).sum(axis=1, dtype=np.int64)
+        good = (100 + percent) * (sizes - differing) >= 2 * percent * sizes
+        i, j, differing, sizes = i[good], j[good], differing[good], sizes[good]
+    return i, j, differing, sizes
+
+
 def _runs(counts: np.ndarray):
     """Consecutive ranges whose counts add up to about COMPARED."""
     total, begin = np.cumsum(counts), 0

@@ -191,3 +191,22 @@ def test_sizes_on_both_sides_of_a_bitmap_length(frame):
             rows.append((len(rows), " ".join(words + [f"x{rng.randrange(10**6)}" for _ in range(n)])))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.join(frame(rows, "doc_id long, text string")).collect()}
     assert got == {d: (n, c) for d, n, c in brute(rows, neardup.WORDS, neardup.PERCENT)}
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_bitmaps_tell_long_texts_apart(percent):
+    """Sets of thousands of shingles without a common one do not pass, those near enough do."""
+    rng = np.random.default_rng(7)
+    for size in (300, 800, 3000, 5000, 9000, 12000, 20000):
+        sets_ = [np.unique(rng.integers(0, 1 << 63, size, np.uint64)) for _ in range(4)]
+        sets_ += [x[: size * (percent + 5) // 100] for x in sets_]
+        lengths, folds = neardup._folds(pa.array([neardup._parity(x, percent) for x in sets_], pa.list_(pa.int64())))
+        n, passed = np.array([len(x) for x in sets_]), set()
+        i, j = np.triu_indices(len(sets_), 1)
+        for words, bits in folds.items():
+            some = np.minimum(lengths[i], lengths[j]) == words
+            a, b, differing, sizes = neardup._passing(bits, i[some], j[some], (n[i] + n[j])[some], percent)
+            assert (sizes == n[a] + n[b]).all()
+            assert all(d == np.bitwise_count(bits[x] ^ bits[y]).sum() for x, y, d in zip(a, b, differing, strict=True))
+            passed |= set(zip(a.tolist(), b.tolist(), strict=True))
+        assert passed == {(k, k + 4) for k in range(4)}
