@@ -8,7 +8,8 @@ here is by hash, with shingles of very many prefixes last. Nodes that share such
    likeliest is verified, which makes most of every group one component.
 2. What a tile then holds of different components, near enough in size, is compared with each other. Of the pairs that may link,
    a spanning forest is verified.
-3. This is done once more, and all pairs of different components that may still link are verified.
+3. The tiles of which a pair of that forest still lies in two components are compared once more, and all their pairs of
+   different components that may link are verified. In the other tiles the forest has joined all that may link.
 
 Only |A| >= t |B| can link. A tile of more than BLOCK nodes is cut into bands of sizes, each as wide as this
 ratio, and bands into blocks: a block meets the blocks of its own band and of the two bands beside it, no
@@ -211,7 +212,7 @@ def _parted(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """The pairs whose nodes lie in different components so far."""
     ra, rb = (found.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
     return pairs.join(ra, "a", "left").join(rb, "b", "left").where(
-        F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "score")
+        F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
 
 
 def _band(n: Column, percent: int) -> Column:
@@ -258,7 +259,7 @@ def _blocks(mixed: DataFrame, percent: int) -> DataFrame:
 
 
 def _crossing(mixed: DataFrame, nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Pairs (a, b, score) of a tile that lie in different components and pass sizes and bitmaps.
+    """Pairs (key, a, b, score) of a tile that lie in different components and pass sizes and bitmaps.
 
     ``forest``: of each two blocks only as many as connect all components that these pairs connect.
     """
@@ -303,7 +304,8 @@ def _crossing(mixed: DataFrame, nodes: DataFrame, percent: int, forest: bool) ->
             i, j, score = i[picked], j[picked], score[picked]
         a, b = rows["node"][i], rows["node"][j]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(score, pa.float64())], ["a", "b", "score"])
+            [pa.array(rows["key"][i]), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(score, pa.float64())],
+            ["key", "a", "b", "score"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -321,7 +323,7 @@ def _crossing(mixed: DataFrame, nodes: DataFrame, percent: int, forest: bool) ->
         if held:
             yield from compared(pa.Table.from_batches(held))
 
-    return sorted_tiles.mapInArrow(run, "a long, b long, score double")
+    return sorted_tiles.mapInArrow(run, "key long, a long, b long, score double")
 
 
 def _passing(bits: np.ndarray, i: np.ndarray, j: np.ndarray, sizes: np.ndarray, percent: int):
@@ -447,10 +449,12 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words:
     found, members = components(links, scratch=scratch), tiles.where("node <> first")
     for forest in (True, False):
         members, stars = scratch.keep(_mixed(members, found, percent)), scratch.keep(_parted(stars, found))
-        crossing = _crossing(members, nodes, percent, forest)
+        crossing = scratch.keep(_crossing(members, nodes, percent, forest))
         pairs = (_likeliest(stars) if forest else stars.select("a", "b")).unionAll(crossing.select("a", "b")).distinct()
         links = links.unionAll(_verified(pairs, source, nodes, words, percent))
         found = components(links, scratch=scratch)
+        if forest:  # a tile's pairs that may link are joined if those of its forest are
+            members = members.join(_parted(crossing, found).select("key").distinct(), "key", "left_semi")
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = keep(least.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     scratch.clear()

@@ -210,3 +210,23 @@ def test_bitmaps_tell_long_texts_apart(percent):
             assert all(d == np.bitwise_count(bits[x] ^ bits[y]).sum() for x, y, d in zip(a, b, differing, strict=True))
             passed |= set(zip(a.tolist(), b.tolist(), strict=True))
         assert passed == {(k, k + 4) for k in range(4)}
+
+
+def test_settled_tiles_are_not_compared_twice(spark, frame, monkeypatch):
+    """Texts that share passages but do not link, and families that do: the second round has little left."""
+    rng, rows, sizes, crossing = random.Random(8), [], [], neardup._crossing
+    line = [f"c{i}" for i in range(30)]
+    for family in range(40):
+        base = line + [f"w{rng.randrange(10**6)}" for _ in range(30)]
+        for k in range(3):
+            rows.append((len(rows), " ".join(base[:-1] + [f"x{rng.randrange(10**6)}"] if k else base)))
+
+    def counted(mixed, *rest):
+        sizes.append(mixed.count())
+        return crossing(mixed, *rest)
+
+    monkeypatch.setattr(neardup, "_crossing", counted)
+    got = {tuple(r) for r in neardup.join(frame(rows, "doc_id long, text string"), words=3, percent=80).select(
+        "doc_id", "n_shingles", "component_id").collect()}
+    assert got == set(brute(rows, 3, 80))
+    assert sizes[0] > 100 and sizes[1] == 0
