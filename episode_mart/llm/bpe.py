@@ -8,9 +8,11 @@ another state less one arc, and a target per token. Its transition table is fill
 
 Pre-split words are encoded by walking the automaton along the word's bytes, longest arc first; the
 accepted path is unique, so a place from which the word cannot be finished is left for good. Decoding
-emits the labels of the arcs, which are the tokens' bytes. Texts are taken together up to ``CHUNK`` characters: their
-words are numbered, each different word is walked (or looked up) once, and its tokens and labels are gathered for all
-its places in Arrow. Walked words are remembered in two generations, so frequent ones stay. The path of the vocabulary file is a
+emits the labels of the arcs, which are the tokens' bytes. Texts are taken together up to ``CHUNK`` bytes: their
+words are numbered, each different word is walked (or looked up) once, and its tokens are gathered for all
+its places in Arrow, as the labels are for all tokens. Walked words are remembered in two generations, so frequent ones
+stay. What a worker holds beside its Arrow batch and the automaton is bounded by ``CHUNK``, or one text, and by the words and
+arcs that it remembers (``CACHED``, ``TABLED``). The path of the vocabulary file is a
 parameter; the driver reads it and sends the compiled automaton (its size is the vocabulary's) to the tasks.
 
 Defined cases: null and empty texts have no tokens and decode to the empty text. Special tokens of the
@@ -20,8 +22,8 @@ file are recognised in texts. Repeated rows get equal results. Columns named lik
 from __future__ import annotations
 
 import json
+from array import array
 from bisect import bisect_right
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +38,16 @@ from episode_mart.llm.common import map_batches
 # Fixed value: the pre-splitting pattern of byte-level vocabularies.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHED = 200_000
-TABLED = 1_000_000
-CHUNK = 2_000_000
+TABLED = 250_000
+CHUNK = 1 << 19
 PREFIX = 5
 
+_TOKEN = np.dtype("int32")
+
+
+def _packed(tokens: list[int]) -> bytes:
+    return array("i", tokens).tobytes()
+
 
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte: itself if it prints, else the next one from 256 on."""
@@ -56,10 +64,9 @@ class TokenAutomaton:
     def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]], special: dict[str, int]):
         self.special = special
         self.labels = {t: b for b, t in vocabulary.items()}
-        self.parent, self.lacks, self.since = [0], [-1], [-1]  # state 0 lacks nothing
+        self.parent, self.lacks, self.since = array("i", [0]), array("i", [-1]), array("i", [-1])  # state 0 lacks nothing
         self.target = {vocabulary[bytes([b])]: 0 for b in range(256) if bytes([b]) in vocabulary}
-        self.left: dict[int, int] = {}
-        self.made: dict[int, int] = {}
+        self.left, self.made = (array("i", [-1]) * (max(vocabulary.values(), default=-1) + 1) for _ in range(2))  # -1: no merge
         for time, (u, v) in enumerate(merges):
             self._gadget(time, vocabulary[u], vocabulary[v], vocabulary[u + v])
         self.tokens = {self.labels[t]: t for t in self.target}
@@ -86,7 +93,7 @@ class TokenAutomaton:
     def _has_arc(self, state: int, token: int) -> bool:
         """Whether ``token`` may follow: an arc uv was added where an arc u was left by that merge."""
         before = {token: len(self.parent) + len(self.target)}
-        while token in self.left:
+        while self.left[token] >= 0:
             made = self.made[token]
             token = self.left[token]
             before.setdefault(token, made)
@@ -105,14 +112,14 @@ class TokenAutomaton:
         size = [1] * n
         for state in range(n - 1, 0, -1):  # parents come before children
             size[self.parent[state]] += size[state]
-        self.first, free = [0] * n, [1] * n
+        self.first, free = array("i", [0]) * n, [1] * n
         for state in range(1, n):
             above = self.parent[state]
             self.first[state] = self.first[above] + free[above]
             free[above] += size[state]
-        self.lacking: dict[int, tuple[list[int], list[int], list[int]]] = {}
+        self.lacking: dict[int, tuple[array, array, array]] = {}
         for state in sorted(range(1, n), key=self.first.__getitem__):
-            begins, ends, since = self.lacking.setdefault(self.lacks[state], ([], [], []))
+            begins, ends, since = self.lacking.setdefault(self.lacks[state], (array("i"), array("i"), array("i")))
             begins.append(self.first[state])
             ends.append(self.first[state] + size[state])
             since.append(self.since[state])
@@ -126,34 +133,37 @@ class TokenAutomaton:
                 i = bisect_right(found[0], at) - 1
                 if i >= 0 and at < found[1][i] and found[2][i] <= before:
                     return False
-            if token not in self.left:
+            if self.left[token] < 0:
                 return True
             made = self.made[token]
             before = made if made < before else before
             token = self.left[token]
 
     def _start(self) -> None:
-        self.table: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[tuple[int, ...], bytes]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], bytes]] = {}
+        self.remembered: int | None = None
+        self.table: dict[int, bool] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.by_token = pa.array([self.labels.get(t, b"") for t in range(max(self.labels, default=-1) + 1)], pa.large_binary())
         self.split = regex.compile(PRE_SPLIT)
         names = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("|".join(map(regex.escape, names))) if names else None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("table", "words", "older", "split", "specials")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("remembered", "table", "words", "older", "by_token", "split", "specials")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self._start()
 
     def _follows(self, token: int, after: int) -> bool:
-        key = (self.target[after], token)
+        state = self.target[after]
+        key = state << 32 | token
         found = self.table.get(key)
         if found is None:
             if len(self.table) >= TABLED:
                 self.table.clear()
-            found = self.table[key] = self._arc(*key)
+            found = self.table[key] = self._arc(state, token)
         return found
 
     def path(self, word: bytes) -> list[int]:
@@ -185,35 +195,33 @@ class TokenAutomaton:
                 raise ValueError(f"no path spells {word!r}")
         return path
 
-    def word(self, word: str) -> tuple[tuple[int, ...], bytes]:
-        """Tokens of a pre-split word, and their labels."""
+    def word(self, word: str) -> bytes:
+        """Tokens of a pre-split word, as 32-bit integers: bytes are the least of what may remember them."""
         found = self.words.get(word)
         if found is None:
-            if len(self.words) >= CACHED:
+            if len(self.words) >= (self.remembered or CACHED):
                 self.words, self.older = {}, self.words
             found = self.older.get(word)
             if found is None:
-                path = tuple(self.path(word.encode()))
-                found = path, b"".join([self.labels[t] for t in path])
+                found = _packed(self.path(word.encode()))
             self.words[word] = found
         return found
 
-    def _plain(self, text: str) -> list[tuple[tuple[int, ...], bytes]]:
+    def _plain(self, text: str) -> list[bytes]:
         return [self.word(w) for w in self.split.findall(text)]
 
-    def pieces(self, text: str) -> list[tuple[tuple[int, ...], bytes]]:
-        """(tokens, their labels) of every pre-split word and special token."""
+    def pieces(self, text: str) -> list[bytes]:
+        """Tokens of every pre-split word and special token."""
         if self.specials is None or not self.specials.search(text):
             return self._plain(text)
         out, at = [], 0
         for m in self.specials.finditer(text):
-            token = self.special[m[0]]
-            out += [*self._plain(text[at:m.start()]), ((token,), self.labels[token])]
+            out += [*self._plain(text[at:m.start()]), _packed([self.special[m[0]]])]
             at = m.end()
         return out + self._plain(text[at:])
 
-    def together(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]:
-        """Tokens and labels (bytes) of all texts, each with the end of every text's part."""
+    def tokens_of(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Tokens of all texts, with the end of every text's part."""
         words, ends, own = [], np.zeros(len(texts), "int64"), []
         for i, text in enumerate(texts):
             if self.specials is not None and self.specials.search(text):
@@ -224,21 +232,30 @@ class TokenAutomaton:
                 words += self.split.findall(text)
             ends[i] = len(words)
         numbered = pa.array(words, pa.string()).dictionary_encode()
+        del words
         known = [self.word(w) for w in numbered.dictionary.to_pylist()]
         at = np.asarray(numbered.indices.fill_null(-1)).copy()
         at[at < 0] = np.arange(len(known), len(known) + len(own))  # pieces with special tokens stand for themselves
         known += own
-        del words, numbered
-        tokens = np.fromiter(chain.from_iterable([k[0] for k in known]), "int32")
-        lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(k[0]) for k in known], dtype="int64")].astype("int32"), tokens)
-        labels = pa.array([k[1] for k in known], pa.large_binary())
-        lists, labels = lists.take(pa.array(at)), labels.take(pa.array(at))
-        by_word = [np.r_[0, np.cumsum(np.asarray(f(x)), dtype="int64")] for f, x in (
-            (pc.list_value_length, lists), (pc.binary_length, labels))]
-        return lists.flatten(), by_word[0][ends], labels, by_word[1][ends]
+        lengths = np.fromiter(map(len, known), "int64", len(known)) // _TOKEN.itemsize
+        lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(lengths)].astype("int32"), np.frombuffer(b"".join(known), _TOKEN))
+        lists = lists.take(pa.array(at))
+        by_word = np.r_[0, np.cumsum(np.asarray(pc.list_value_length(lists)), dtype="int64")]
+        return lists.flatten(), by_word[ends]
+
+    def labels_of(self, tokens: pa.Array, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Labels (bytes) of the tokens of all texts, with the end of every text's part."""
+        labels = self.by_token.take(tokens)
+        by_token = np.r_[0, np.cumsum(np.asarray(pc.binary_length(labels)), dtype="int64")]
+        return labels, by_token[ends]
+
+    def together(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, pa.Array, np.ndarray]:
+        """Tokens and labels of all texts, each with the end of every text's part."""
+        tokens, ends = self.tokens_of(texts)
+        return tokens, ends, *self.labels_of(tokens, ends)
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable([p[0] for p in self.pieces(text)]))
+        return np.frombuffer(b"".join(self.pieces(text)), _TOKEN).tolist()
 
     def decode(self, tokens: list[int]) -> str:
         return b"".join([self.labels[t] for t in tokens]).decode(errors="replace")
@@ -286,28 +303,35 @@ def _texts_of(labels: pa.Array, ends: np.ndarray) -> pa.Array:
         return pa.array([b.decode(errors="replace") for b in parts.to_pylist()], pa.string())
 
 
-def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (array of int) and ``decoded``, the text that the ids decode to."""
-    new = ("ids", "decoded")
+def encode(docs: DataFrame, path: str, text: str = "text", decode: bool = True, remembered: int | None = None) -> DataFrame:
+    """``docs`` with ``ids`` (array of int) and, with ``decode``, ``decoded``, the text that the ids decode to.
+
+    A worker remembers up to twice ``remembered`` words (``CACHED``): fewer take less memory and more time.
+    """
+    new = {"ids": T.ArrayType(T.IntegerType())} | ({"decoded": T.StringType()} if decode else {})
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in new])
-    schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())),
-                           T.StructField("decoded", T.StringType())])
+    schema = T.StructType([*kept.schema.fields, *[T.StructField(c, t) for c, t in new.items()]])
     at, names = kept.columns.index(text), schema.names
     shared = _shared(docs.sparkSession, path)
 
+    def encoded(automaton: TokenAutomaton, part: pa.RecordBatch) -> pa.RecordBatch:
+        ids, ends = automaton.tokens_of([body or "" for body in part.column(at).to_pylist()])
+        columns = [*part.columns, pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), ids)]
+        if decode:
+            columns.append(_texts_of(*automaton.labels_of(ids, ends)))
+        return pa.RecordBatch.from_arrays(columns, names)
+
     def run(batches):
         automaton = shared.value
+        automaton.remembered = remembered
         for batch in batches:
-            texts = [body or "" for body in batch.column(at).to_pylist()]
-            lengths = np.cumsum([len(t) for t in texts])
+            ends = np.cumsum(np.asarray(pc.binary_length(batch.column(at)).fill_null(0)), dtype="int64")
             begin = 0
-            while begin < len(texts):
-                done = lengths[begin - 1] if begin else 0
-                end = max(begin + 1, int(np.searchsorted(lengths, done + CHUNK, "right")))
-                ids, id_ends, labels, label_ends = automaton.together(texts[begin:end])
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, id_ends], pa.int32()), ids)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(begin, end - begin).columns, lists, _texts_of(labels, label_ends)], names)
+            while begin < len(ends):
+                done = ends[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, done + CHUNK, "right")))
+                yield encoded(automaton, batch.slice(begin, end - begin))
                 begin = end
+            del batch  # or it would lie beside the next one
 
     return map_batches(kept, run, schema)

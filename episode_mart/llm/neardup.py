@@ -131,8 +131,8 @@ def signatures(docs: DataFrame, id_column: str, text: str, words: int, percent:
         heavy = last.value
         for batch in batches:
             sizes, nodes, at, prefixes, bits, places = [], [], [0], [], [], [0]
-            for body in texts(batch.column(2)):
-                found = shingles(body, words)
+            for body in batch.column(2).cast(pa.binary()):  # one text at a time beside the batch
+                found = shingles(body.as_py() or b"", words)
                 n = len(found)
                 sizes.append(n)
                 if n:

@@ -1,8 +1,10 @@
 """The automaton against the public library, on documents and on generated texts."""
 
 import hashlib
+import pickle
 import random
 import time
+import tracemalloc
 from functools import cache
 
 import public_tokenizers
@@ -104,3 +106,25 @@ def test_every_arc_by_its_number(automaton):
     for _ in range(5_000):
         u, v = r.choice(tokens), r.choice(tokens)
         assert automaton._arc(automaton.target[u], v) == automaton._has_arc(automaton.target[u], v)
+
+
+def test_a_worker_remembers_little(automaton):
+    made = pickle.loads(pickle.dumps(automaton))
+    made.remembered = 5_000
+    r = random.Random(0)
+    texts = [" ".join(f"{r.getrandbits(24):x}" for _ in range(5_000)) for _ in range(8)]
+    tracemalloc.start()
+    for text in texts:
+        made.together([text])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(made.words) + len(made.older) <= 10_000
+    assert held < 8e6
+
+
+def test_long_batches_without_decoding(spark, frame):
+    rows = [(i, f"word{i} " * 30_000, "en") for i in range(6)] + [(6, None, "en"), (7, "", "en")]
+    with_texts, without = (bpe.encode(frame(rows).coalesce(1), PATH, decode=d).orderBy("doc_id").collect() for d in (True, False))
+    assert "decoded" not in without[0] and [r["ids"] for r in without] == [r["ids"] for r in with_texts]
+    assert [r["decoded"] for r in with_texts] == [r[1] or "" for r in rows]
+    assert without[0]["ids"] == LIBRARY.encode(rows[0][1], add_special_tokens=False).ids
