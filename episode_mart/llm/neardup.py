@@ -14,10 +14,13 @@ here is by hash, with shingles of very many prefixes last. Nodes that share such
 Only |A| >= t |B| can link. A tile of more than BLOCK nodes is cut into bands of sizes, each as wide as this
 ratio, and bands into blocks: a block meets the blocks of its own band and of the two bands beside it, no
 others. Within tiles and blocks nodes are sorted by size, and each meets only those that are near enough.
+Near sets share many tiles. A pair counts in the first of them by key, and is left out of those in which both nodes have
+a common tile among the ``EARLIER`` before; so pairs grow with the pairs there are, not with the shingles that they share.
 
 A pair is compared by parity bitmaps of hashed shingles: common shingles cancel out, so the bit count of
 their difference bounds the overlap from above. A bitmap has ``SPARE`` times as many bits as two sets of that size may differ in
 shingles and still link, up to ``BITS``: sets without common shingles then differ in half of the bits, which is too many.
+Step 3, which meets few tiles, takes bitmaps with ``FINE`` times as many: they tell apart most sets that differ little more than allowed.
 Folded by exclusive or it is the bitmap of fewer bits, so sets of any sizes compare. Pairs that pass are verified exactly by intersecting the
 sorted shingle arrays, computed from the whole texts. No pair of one component is compared twice for
 nothing and none of two components is left out, so components are exact.
@@ -37,7 +40,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from episode_mart.llm.common import Scratch, keep, texts
@@ -46,11 +49,12 @@ from episode_mart.llm.graphs import components
 WORDS = 3
 PERCENT = 90
 BITS = 1 << 14  # enough for sets of 25,000 shingles at 80 percent, 50,000 at 90
-SPARE = 3
+SPARE, FINE = 3, 12
 BLOCK = 2048
 HEAVY = 10_000
 COMPARED = 200_000
 WORDS_AT_ONCE = 1 << 20  # 64-bit words of bitmaps that are compared in one step
+EARLIER = 4  # tiles of a node before the one at hand, by which pairs are told that have met there
 FIRST = 4  # 64-bit words of the bitmaps that are compared before the others
 BUCKETS = 1 << 20
 
@@ -82,13 +86,13 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _parity(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+def _parity(found: np.ndarray, percent: int = PERCENT, spare: int = SPARE) -> np.ndarray:
     """Bits that tell whether an odd number of shingles falls in a bucket, as 64-bit integers.
 
-    The number of bits is the power of two from 64 ``FIRST`` to BITS that is not below ``SPARE`` times the number of
+    The number of bits is the power of two from 64 ``FIRST`` to BITS that is not below ``spare`` times the number of
     shingles in which two sets of this size may differ.
     """
-    bits, enough = 64 * FIRST, SPARE * 2 * (100 - percent) * len(found) / (100 + percent)
+    bits, enough = 64 * FIRST, spare * 2 * (100 - percent) * len(found) / (100 + percent)
     while bits < min(enough, BITS):
         bits *= 2
     counts = np.bincount((found >> np.uint64(40)).astype(np.int64) % bits, minlength=bits)
@@ -122,15 +126,15 @@ def _folds(bits: pa.ListArray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
 
 def signatures(docs: DataFrame, id_column: str, text: str, words: int, percent: int,
                heavy: np.ndarray | None = None) -> DataFrame:
-    """(doc_id, row, n, node, prefix, bits) per row; node, prefix and bits are null without shingles."""
+    """(doc_id, row, n, node, prefix, bits, fine) per row; node is null without shingles, the lists are empty."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(F.col(id_column).cast("long"), F.col(text)).alias("row"),
                        F.col(text).alias("text"))
     last = docs.sparkSession.sparkContext.broadcast(heavy if heavy is not None else np.empty(0, np.uint64))
 
     def run(batches):
-        heavy = last.value
+        heavy, none = last.value, np.empty(0, np.int64)
         for batch in batches:
-            sizes, nodes, at, prefixes, bits, places = [], [], [0], [], [], [0]
+            sizes, nodes, at, prefixes, maps = [], [], [0], [], {SPARE: [], FINE: []}
             for body in batch.column(2).cast(pa.binary()):  # one text at a time beside the batch
                 found = shingles(body.as_py() or b"", words)
                 n = len(found)
@@ -138,7 +142,8 @@ def signatures(docs: DataFrame, id_column: str, text: str, words: int, percent:
                 if n:
                     nodes.append(int(xxhash.xxh64_intdigest(found.tobytes())) - (1 << 63))
                     p = prefix_length(n, percent)
-                    bits.append(_parity(found, percent))
+                    for spare, bits in maps.items():
+                        bits.append(_parity(found, percent, spare))
                     if len(heavy) and np.isin(found[:p], heavy).any():
                         late = np.isin(found, heavy)
                         found = np.concatenate([found[~late], found[late]])
@@ -147,16 +152,17 @@ def signatures(docs: DataFrame, id_column: str, text: str, words: int, percent:
                 else:
                     nodes.append(None)
                     at.append(at[-1])
-                places.append(places[-1] + (len(bits[-1]) if n else 0))
-            flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
-            flags = np.concatenate(bits) if bits else np.empty(0, np.int64)
+                    for bits in maps.values():
+                        bits.append(none)
+            flat = np.concatenate([none, *prefixes])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
                  pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)),
-                 pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(flags))],
-                ["doc_id", "row", "n", "node", "prefix", "bits"])
+                 *(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, bits)]), pa.int32()),
+                                            pa.array(np.concatenate([none, *bits]))) for bits in maps.values())],
+                ["doc_id", "row", "n", "node", "prefix", "bits", "fine"])
 
-    return rows.mapInArrow(run, "doc_id long, row long, n long, node long, prefix array<long>, bits array<long>")
+    return rows.mapInArrow(run, "doc_id long, row long, n long, node long, prefix array<long>, bits array<long>, fine array<long>")
 
 
 def _may_link(percent: int, na: Column, nb: Column, differing: Column | None = None) -> Column:
@@ -261,12 +267,15 @@ def _blocks(mixed: DataFrame, percent: int) -> DataFrame:
 def _crossing(mixed: DataFrame, nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
     """Pairs (key, a, b, score) of a tile that lie in different components and pass sizes and bitmaps.
 
+    A pair is made by the first tile of both nodes for certain, by a later one only if the nodes' EARLIER tiles before it differ.
     ``forest``: of each two blocks only as many as connect all components that these pairs connect.
     """
-    members = _blocks(mixed, percent).join(nodes.select("node", "bits"), "node")
-    dealt = members.select("key", "node", "n", "root", "bits", "own", F.explode("others").alias("other"))
+    before = F.collect_list("key").over(Window.partitionBy("node").orderBy("key").rowsBetween(-EARLIER, -1))
+    bits = F.col("bits" if forest else "fine").alias("bits")
+    members = _blocks(mixed, percent).withColumn("before", before).join(nodes.select("node", bits), "node")
+    dealt = members.select("key", "node", "n", "root", "before", "bits", "own", F.explode("others").alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own",
-                         "node", "n", "root", "bits")
+                         "node", "n", "root", "before", "bits")
     sorted_tiles = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n")
 
     def pairs_of(rows: dict[str, np.ndarray], group: np.ndarray):
@@ -285,13 +294,15 @@ def _crossing(mixed: DataFrame, nodes: DataFrame, percent: int, forest: bool) ->
             for length, bits in folds.items():
                 i, j = every_i[words == length], every_j[words == length]
                 i, j, differing, sizes = _passing(bits, i, j, n[i] + n[j], percent)
-                yield i, j, differing / sizes
+                new = ~_met(rows["before"], i, j)
+                yield i[new], j[new], (differing / sizes)[new]
 
     def compared(table: pa.Table):
         if len(table) < 2:
             return
         rows = {c: np.asarray(table.column(c).combine_chunks()) for c in ("key", "lo", "hi", "own", "node", "n", "root")}
         rows["bits"] = _folds(table.column("bits").combine_chunks())
+        rows["before"] = table.column("before").combine_chunks()
         new = np.zeros(len(table), bool)
         for c in ("key", "lo", "hi"):
             new[1:] |= rows[c][1:] != rows[c][:-1]
@@ -326,6 +337,17 @@ def _crossing(mixed: DataFrame, nodes: DataFrame, percent: int, forest: bool) ->
     return sorted_tiles.mapInArrow(run, "key long, a long, b long, score double")
 
 
+def _met(before: pa.ListArray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the lists of rows i and j have a value in common, for each pair (i, j)."""
+    starts, flat = np.asarray(before.offsets), np.asarray(before.values)
+    found, lengths = np.zeros(len(i), bool), np.diff(starts)
+    for s in range(int(lengths.max(initial=0))):
+        for t in range(int(lengths.max(initial=0))):
+            both = np.flatnonzero(~found & (s < lengths[i]) & (t < lengths[j]))
+            found[both] = flat[starts[i[both]] + s] == flat[starts[j[both]] + t]
+    return found
+
+
 def _passing(bits: np.ndarray, i: np.ndarray, j: np.ndarray, sizes: np.ndarray, percent: int):
     """Of the pairs (i, j) those whose bitmaps pass, with their differing bits and sizes.
 
@@ -443,7 +465,7 @@ def join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words:
         shared = scratch.keep(_shared(alone))
     keyed = alone.select(F.explode("prefix").alias("key"), "node", "n")
     tiles = scratch.keep(keyed.join(shared.select("key", "first"), "key"))
-    nodes = scratch.keep(alone.select("node", "n", "row", "bits"))
+    nodes = scratch.keep(alone.select("node", "n", "row", "bits", "fine"))
     source, stars = _Texts(docs, id_column, text, scratch), scratch.keep(_stars(tiles, nodes, percent))
     links = _verified(_likeliest(stars), source, nodes, words, percent)
     found, members = components(links, scratch=scratch), tiles.where("node <> first")

@@ -230,3 +230,52 @@ def test_settled_tiles_are_not_compared_twice(spark, frame, monkeypatch):
         "doc_id", "n_shingles", "component_id").collect()}
     assert got == set(brute(rows, 3, 80))
     assert sizes[0] > 100 and sizes[1] == 0
+
+
+def test_a_pair_of_many_common_shingles_is_made_once(frame, monkeypatch):
+    """Families of texts somewhat less alike than asked for: rows grow with the pairs, not with their common shingles."""
+    rng, rows, made, crossing = random.Random(9), [], [], neardup._crossing
+    for _ in range(3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        for _ in range(30):
+            text = list(base)
+            for at in rng.sample(range(400), rng.choice([7, 9, 10, 11])):
+                text[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text)))
+
+    def counted(*args):
+        pairs = crossing(*args)
+        made.append((pairs.count(), pairs.select("a", "b").distinct().count()))
+        return pairs
+
+    monkeypatch.setattr(neardup, "_crossing", counted)
+    got = {tuple(r) for r in neardup.join(frame(rows, "doc_id long, text string"), words=3, percent=80).select(
+        "doc_id", "n_shingles", "component_id").collect()}
+    assert got == set(brute(rows, 3, 80))
+    assert made[0][1] > 0 and all(n <= 1.5 * pairs for n, pairs in made) and made[1][0] < len(rows)
+
+
+def test_pairs_that_meet_in_several_tiles_are_all_made(spark, monkeypatch):
+    """With bitmaps that let all pass: each pair of different roots and near sizes in a common tile, few of them twice."""
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    rng = random.Random(10)
+    of = {node: (rng.choice([20, 22, 24, 40]), rng.randrange(12)) for node in range(40)}
+    tiles = {key: rng.sample(sorted(of), rng.choice([2, 4, 12, 30])) for key in range(-20, 20)}
+    mixed = spark.createDataFrame([(key, v, *of[v], len(t)) for key, t in tiles.items() for v in t],
+                                  "key long, node long, n long, root long, m long")
+    nodes = spark.createDataFrame([(v, [0] * 4, [0] * 8) for v in of], "node long, bits array<long>, fine array<long>")
+    expected = {(a, b) for t in tiles.values() for a in t for b in t
+                if a < b and of[a][1] != of[b][1] and 100 * min(of[a][0], of[b][0]) >= 80 * max(of[a][0], of[b][0])}
+    got = [tuple(r) for r in neardup._crossing(mixed, nodes, 80, False).select("a", "b").collect()]
+    assert set(got) == expected and all(set(pair) <= set(tiles[r]) for r, *pair in neardup._crossing(mixed, nodes, 80, True).select("key", "a", "b").collect())
+    met = [sum(a in t and b in t for t in tiles.values()) for a, b in expected]
+    assert len(got) < sum(met)
+
+
+def test_lists_with_a_common_value():
+    rng = np.random.default_rng(3)
+    lists = [rng.integers(0, 9, rng.integers(0, 4)).tolist() for _ in range(30)]
+    i, j = np.triu_indices(20, 1)
+    some = pa.array(lists, pa.list_(pa.int64())).slice(10)
+    assert neardup._met(some, i, j).tolist() == [bool(set(lists[10 + x]) & set(lists[10 + y])) for x, y in zip(i, j, strict=True)]
+    assert not neardup._met(pa.array([[], []], pa.list_(pa.int64())), np.array([0]), np.array([1])).any()
