@@ -90,3 +90,12 @@ def test_one_of_each_leaves_one(spark):
     assert sorted(r["doc_id"] for r in with_shingles if r["doc_id"] is not None) == ids
     assert sum(r["doc_id"] is None for r in with_shingles) == no_id
     assert len(got) - len(with_shingles) == blank
+
+
+def test_tokens_are_decoded(spark):
+    words = [None, "", "the cat sat on the mat", "naïve Ωmega 漢字 \U0001f600  two\nlines", "an <|endoftext|> inside", "the cat sat on the mat"]
+    docs = spark.createDataFrame([(i, t, "old") for i, t in enumerate(words)], "doc_id long, text string, decoded string")
+    got = cp.tokenize(spark, docs, SF).orderBy("doc_id").collect()
+    assert [r["decoded"] for r in got] == [t or "" for t in words]
+    for r in got:
+        assert r["n_tokens"] == len(r["ids"]) and LIBRARY.decode(r["ids"], skip_special_tokens=False) == r["decoded"]
