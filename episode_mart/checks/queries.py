@@ -23,7 +23,7 @@ from episode_mart.plans.refresh import read_mart, refresh
 from episode_mart.schemas import RAW
 from episode_mart.sources import versions
 from episode_mart.sources.files import read_csv, read_files, scan_folder
-from episode_mart.sources.tables import scratch_dir, table_schema, write
+from episode_mart.sources.tables import scratch_dir, shuffles_freed, table_schema, write
 
 AS_OF = datetime.date(2026, 1, 1)
 ROW = ("l_orderkey", "l_linenumber")
@@ -45,9 +45,10 @@ def _transactions(spark: SparkSession, sf: str) -> DataFrame:
 
 def _staged(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Rows written and read back, as the refresh does with its stage tables: what reads them more than once
-    does not make them anew each time."""
+    does not make them anew each time, and the shuffles behind them take no disk any more."""
     path = scratch_dir(spark)
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -56,6 +56,17 @@ def with_visit_number(referrals: DataFrame, hot_rows: int = HOT_ROWS) -> DataFra
     return join_by_key(keyed, numbered, ["patient_key", "referral_date"], "referrals", hot_rows)
 
 
+def _with_marks(days: DataFrame, eps: DataFrame, attributes: list[str]) -> DataFrame:
+    """The days and one mark per episode on the day it begins; ``is_fact`` tells them apart."""
+    marks = eps.select(
+        "patient_key",
+        F.col("referral_date").alias("day"),
+        F.struct(*attributes).alias("_begun"),
+        F.lit(0).alias("is_fact"),
+    )
+    return marks.unionByName(days.withColumn("is_fact", F.lit(1)), allowMissingColumns=True)
+
+
 def carry_forward(days: DataFrame, eps: DataFrame, attributes: list[str]) -> DataFrame:
     """Give each patient-day the attributes of the latest episode that has begun.
 
@@ -63,13 +74,11 @@ def carry_forward(days: DataFrame, eps: DataFrame, attributes: list[str]) -> Dat
     one mark per episode (``is_fact`` tells them apart) with ``episode``, a struct of the
     attributes, and ``patient_seen``: whether the patient has any day in ``days``.
     """
-    marks = eps.select(
-        "patient_key",
-        F.col("referral_date").alias("day"),
-        F.struct(*attributes).alias("_begun"),
-        F.lit(0).alias("is_fact"),
-    )
-    both = marks.unionByName(days.withColumn("is_fact", F.lit(1)), allowMissingColumns=True)
+    return _carried(_with_marks(days, eps, attributes))
+
+
+def _carried(both: DataFrame) -> DataFrame:
+    """``carry_forward`` over days and marks, one row each."""
     patient = Window.partitionBy("patient_key")
     # Same order as the running frame, so one sort serves all; a mark precedes its day's facts.
     by_day = patient.orderBy("day", "is_fact")
@@ -113,18 +122,23 @@ def daily_activity(transactions: DataFrame) -> DataFrame:
 def episode_activity(referrals: DataFrame, transactions: DataFrame) -> DataFrame:
     """Balance, units and lines per episode and payer, empty episodes included.
 
-    Episodes are found for distinct patient-days, so the window never sees payers; the
-    activity of the days is joined to them afterwards.
+    Rows are sent to their patient once: there a day's payers are put into one row, so the window still has one
+    row per day and sees no payer, and all that follows groups by the patient and more.
     """
     attributes = ["referral_date", "next_date", "visit_number", "referrals"]
-    activity = daily_activity(transactions)
-    days = _days_of(transactions).distinct()
-    placed = carry_forward(days, episodes(referrals), attributes).where(F.col("episode").isNotNull())
-    shown = placed.where("is_fact = 1").select("patient_key", "day", "episode", "patient_seen")
-    empty = placed.where("is_empty").select("patient_key", "episode", "patient_seen")
+    lines = daily_activity(transactions).select(
+        "patient_key", "day", F.struct("payer", "balance", "units", "lines").alias("_line"))
+    days = (
+        _with_marks(lines, episodes(referrals), attributes)
+        .repartition("patient_key")
+        .groupBy("patient_key", "day", "is_fact")
+        .agg(F.collect_list("_line").alias("_lines"), F.max("_begun").alias("_begun"))
+    )
     return (
-        activity.join(shown, ["patient_key", "day"]).drop("day")
-        .unionByName(empty, allowMissingColumns=True)
+        _carried(days)
+        .where(F.col("episode").isNotNull() & ((F.col("is_fact") == 1) | F.col("is_empty")))
+        .select("patient_key", "episode", "patient_seen", F.explode_outer("_lines").alias("_line"))
+        .select("patient_key", "episode", "patient_seen", "_line.*")
         .withColumn("payer_key", match_key(F.col("payer")))
         .groupBy("patient_key", "episode", "payer_key")
         .agg(

@@ -1,11 +1,13 @@
-"""What is computed once: facts behind a keyed join, rules of an id, the listing of patients; and files by size."""
+"""What is computed once: facts behind a keyed join, rules of an id, the listing of patients; files by size; what is shuffled."""
 
 import datetime
+import os
 import re
 
 from pyspark.sql import functions as F
 
 from episode_mart.checks import queries
+from episode_mart.operators import payers
 from episode_mart.operators.rules import correct_ids, exclude_and_correct, exclude_ids
 from episode_mart.operators.skew import join_by_key
 from episode_mart.plans import ingest
@@ -73,3 +75,41 @@ def test_a_load_writes_no_empty_tables_and_the_listing_is_written(spark, tmp_pat
     assert got.exceptAll(whole).count() == whole.exceptAll(got).count() == 0
     vacuum(spark, base, versions=1, hours=0)
     assert read_mart(spark, base, "AriaData").count() == whole.count()
+
+
+def moved(spark, df):
+    """Exchanges of the plan by what deals the rows, without adaptive changes."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return re.findall(r"Exchange (hashpartitioning\(.*?\)), ", df.select("*")._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def facts_of(spark, path):
+    rf = spark.createDataFrame([("a", datetime.date(2024, 1, d)) for d in (1, 9)], "patient_id string, referral_date date")
+    tx = [("a", datetime.date(2024, 1, d), p, 1, 2) for d in (2, 3, 9) for p in ("X", "x", None)] + [("a", None, "Y", 1, 2)]
+    spark.createDataFrame(tx, "patient_number_updated string, from_dos date, insurance_name string, remaining_balance int, "
+                          "units int").write.parquet(path)
+    return rf, spark.read.parquet(path)
+
+
+def test_episode_totals_send_rows_to_their_patient_once(spark, tmp_path):
+    rf, tx = facts_of(spark, str(tmp_path / "facts"))
+    totals = payers.episode_totals(rf, tx)
+    by = [e.count("#") for e in moved(spark, totals)]
+    assert len(by) <= 4  # referral days, their patients, activity, its patients
+    assert sorted((str(r.referral_date), int(r.remaining_balance), r.updated_primary, r.updated_secondary) for r in totals.collect()) == [
+        ("2024-01-01", 6, "X", None), ("2024-01-09", 3, "X", None)]
+
+
+
+def test_written_rows_leave_no_shuffle_files(spark):
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
+    held = lambda: {n for d in dirs for _, _, names in os.walk(str(d)) for n in names if n.startswith("shuffle_")}
+    before = held()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key, None)
+    rows = queries._staged(spark, spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.count("*").alias("n")))
+    assert not held() - before
+    assert rows.count() == 10 and spark.conf.get(key, None) == setting
