@@ -177,7 +177,7 @@ def day_map(facts: DataFrame, eps: DataFrame, attributes: list[str]) -> DataFram
     """Episode attributes of each (``patient_key``, ``day``) among the facts, with the fact count."""
     return (
         carry_forward(_day_counts(facts), eps, attributes)
-        .where("is_fact = 1")
+        .where("facts > 0")  # the days; with their number they are the counts that tell hot keys, shuffled once for both
         .select("patient_key", "day", "facts", *[F.col("episode")[a].alias(a) for a in attributes])
     )
 

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from episode_mart.checks import queries
+from episode_mart.operators import episodes as ep
 from episode_mart.operators import payers
 from episode_mart.operators.rules import correct_ids, exclude_and_correct, exclude_ids
 from episode_mart.operators.skew import join_by_key
@@ -103,6 +104,17 @@ def test_episode_totals_send_rows_to_their_patient_once(spark, tmp_path):
         ("2024-01-01", 6, "X", None), ("2024-01-09", 3, "X", None)]
 
 
+def test_days_of_facts_are_counted_once(spark, tmp_path):
+    rf, tx = facts_of(spark, str(tmp_path / "facts"))
+    got = ep.assign_episodes(tx, ep.episodes(rf), "patient_number_updated", "from_dos", ["referral_date"])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = got.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "ReusedExchange" in text and len(re.findall("FileScan", text)) == 2  # the facts, and their days
+    assert sorted(str(r.referral_date) for r in got.collect()) == ["2024-01-01"] * 6 + ["2024-01-09"] * 3 + ["None"]
+
 
 def test_written_rows_leave_no_shuffle_files(spark):
     dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
