@@ -12,7 +12,7 @@ from episode_mart.operators import payers
 from episode_mart.operators.rules import correct_ids, exclude_and_correct, exclude_ids
 from episode_mart.operators.skew import join_by_key
 from episode_mart.plans import ingest
-from episode_mart.plans.clean import clean_transactions
+from episode_mart.plans.clean import clean_transactions, transaction_ids
 from episode_mart.plans.refresh import read_mart, refresh, vacuum
 from episode_mart.sources import versions
 
@@ -125,3 +125,22 @@ def test_written_rows_leave_no_shuffle_files(spark):
     rows = queries._staged(spark, spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.count("*").alias("n")))
     assert not held() - before
     assert rows.count() == 10 and spark.conf.get(key, None) == setting
+
+
+def test_rules_by_written_ids_equal_two_joins(spark, tmp_path):
+    ids = ["861", "86-1 ", "862", "a", "A", "863", "864", None, "", "sny5", "85SNY-5", "869", "869", "86 7"]
+    df = spark.createDataFrame(list(enumerate(ids)), "i int, patient_number string")
+    out = spark.createDataFrame([("861",), ("a ",), (None,), ("a",)], "raw_id string")
+    rules = spark.createDataFrame([("pre", "862", "869"), ("pre", "862", "868"), ("pre", "861", "867"), ("post", "3", "6"),
+                                   ("pre", "864", None), ("pre", None, "5"), ("post", "syn-5", "X"), ("post", "9", "8"), ("post", "8", "1")],
+                                  "stage string, from_id string, to_id string")
+
+    def stage(written):
+        written.write.parquet(str(tmp_path / "ids"))
+        return spark.read.parquet(str(tmp_path / "ids"))
+
+    two, one = transaction_ids(df, out, rules), transaction_ids(df, out, rules, stage)
+    assert one.columns == two.columns
+    assert sorted(map(str, map(tuple, one.collect()))) == sorted(map(str, map(tuple, two.collect())))
+    assert len(re.findall("Join Left", plan(two))) == 2 and len(re.findall("Join Left", plan(one))) == 1
+    assert spark.read.parquet(str(tmp_path / "ids")).count() == 8  # ids that a rule touches, of 12
