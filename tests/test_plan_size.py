@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from episode_mart.checks import queries
 from episode_mart.operators import episodes as ep
-from episode_mart.operators import payers
+from episode_mart.operators import patients, payers
 from episode_mart.operators.rules import correct_ids, exclude_and_correct, exclude_ids
 from episode_mart.operators.skew import join_by_key
 from episode_mart.plans import ingest
@@ -144,3 +144,19 @@ def test_rules_by_written_ids_equal_two_joins(spark, tmp_path):
     assert sorted(map(str, map(tuple, one.collect()))) == sorted(map(str, map(tuple, two.collect())))
     assert len(re.findall("Join Left", plan(two))) == 2 and len(re.findall("Join Left", plan(one))) == 1
     assert spark.read.parquet(str(tmp_path / "ids")).count() == 8  # ids that a rule touches, of 12
+
+
+def test_demographics_with_written_hot_patients(spark, tmp_path):
+    lists = [spark.createDataFrame(rows, schema) for rows, schema in [
+        ([("p", "X", "Y"), ("p", "Z", "N"), (None, "X", "Y")], "patient_id string, company_name string, primary_flag string"),
+        ([("p", datetime.date(2000, 1, 1)), ("P ", datetime.date(2001, 1, 1)), ("q", None)], "patient_id string, date_of_birth date"),
+        ([("r", "S")], "patient_id string, status_icon string"), ([("p", "R"), ("p", "T")], "patient_id string, status_icon string")]]
+    whole = sorted(map(str, patients.demographics(*lists).collect()))
+    for hot_rows in (1, 2, 1_000_000):
+        def stage(df, what, at=str(tmp_path / str(hot_rows))):
+            df.write.parquet(f"{at}/{what}")
+            return spark.read.parquet(f"{at}/{what}")
+
+        got = patients.demographics(*lists, hot_rows=hot_rows, stage=stage)
+        assert sorted(map(str, got.collect())) == whole
+        assert ("_down" in plan(got)) == (hot_rows < 1_000_000)
